@@ -1,15 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models over lower-cased words, one of toxic and one of ordinary documents. In each, a bigram's discounted
-count backs off to the class's continuation counts (in how many distinct contexts of the class a word occurs), and those,
-discounted again, back off to the continuation counts of both classes together: what is rare in a class is smoothed by
-counts that the classes share, so only words and expressions that the classes use differently move a score.
-
-A document's log-likelihoods under both are divided by its number of words; the difference of these, over the whole text
-and over the window of WINDOW words where it is largest (long texts dilute), are the two features of a logistic scale that
-is fitted on training documents which the models have not seen.
-
-The training rows are a bounded sample: SAMPLE documents a class at most, spread by hash over all labelled ones. Rows whose
+Two bigram models over lower-cased words, one of toxic and one of ordinary documents. A bigram counts once for each distinct
+word before it, as in the lower orders of a trigram model, so copied documents count once. In each model that count, less
+DISCOUNT, backs off to the class's continuation counts (in how many distinct contexts of the class a word occurs), and both
+levels, discounted, back off to what discounting took from the counts of the two classes together: what is rare in a class
+is smoothed by counts that the classes share, so only words and expressions that the classes use differently move a score.
+
+A document's log-likelihoods (of its distinct bigrams, as in training) under both are divided by their number; the difference of these, over the whole text
+and over the window of WINDOW words where it is largest (long texts dilute), are features of a logistic scale that is fitted
+on training documents which the models have not seen; a third is their sum over the root of the number of words.
+
+The training rows are a bounded sample: as many documents of either class, SAMPLE at most, spread by hash over all labelled
+ones (classes of one size keep what is rare in both from telling them apart). Rows whose
 label or text is null are left out. If either class has no training row, every score is 0.
 
 Cases: a null text or one without words has the score that the fitted scale gives equal likelihoods. Words are
@@ -18,17 +20,16 @@ Cases: a null text or one without words has the score that the fitted scale give
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import crc_mod, fresh, map_batches, row_function, table, utf8
+from skiff.llm.common import crc_mod, fresh, map_batches, row_function, stored, table, utf8
 
 #: The bound on the training sample: documents of each class.
 SAMPLE = 8000
-DISCOUNT, WINDOW = 0.75, 40
+DISCOUNT, WINDOW = 4, 10
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 EDGE = ""
 
@@ -37,125 +38,125 @@ def words_of(text: bytes | None) -> list[str]:
     return _WORD.findall(text.decode("utf-8", "replace").lower()) if text else []
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(label 0/1, h, text bytes) of about SAMPLE documents a class, by a function of each id's hash."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(label 0/1, fold, text bytes) of as many documents of either class, about SAMPLE at most, by a function of each id's
+    hash; and the labels' counts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     unit = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("label") == 1, min(1.0, SAMPLE / max(1, counts.get(1, 0)))).otherwise(min(1.0, SAMPLE / max(1, counts.get(0, 0))))
+    most = min(SAMPLE, counts.get(0, 0), counts.get(1, 0))
+    share = F.when(F.col("label") == 1, most / max(1, counts.get(1, 0))).otherwise(most / max(1, counts.get(0, 0)))
     # at most about 2 * SAMPLE rows of an id and a bit, whatever the table's size
     chosen = F.broadcast(known.where(unit < share))
     h = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("fold")), F.lit(4)).cast("int")
-    return docs.where(F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("_id")).select("label", h.alias("fold"), utf8(text_col).alias("text"))
+    return docs.where(F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("_id")).select("label", h.alias("fold"), utf8(text_col).alias("text")), counts
 
 
 class Model:
-    """Log-likelihood ratios: of known bigrams, and of words in unknown ones with the context's part added."""
-
-    def __init__(self, grams: list[tuple[int, str, str, int]]):
-        """grams: (label, first, second, count); first is EDGE at a text's start."""
-        pooled = Counter()
-        for first, second in {(a, b) for _, a, b, _ in grams}:
-            pooled[second] += 1
-        kinds, size = len(pooled), sum(pooled.values())
-        shared = {w: (n - DISCOUNT) / size for w, n in pooled.items()}
-        spare = DISCOUNT * kinds / size
-        floor = 1 / (kinds + 1)
-        shared = {w: p + spare * floor for w, p in shared.items()}
-        unseen = spare * floor
-        ratio, weight, unigram = [], [], []
-        for c in (0, 1):
-            own = [(a, b, n) for label, a, b, n in grams if label == c]
-            cont, ctx, kinds_of = Counter(), Counter(), Counter()
-            for a, b, n in own:
-                cont[b] += 1
-                ctx[a] += n
-                kinds_of[a] += 1
-            total = sum(cont.values())
-            back = DISCOUNT * len(cont) / total
-            p1 = {w: (max(0.0, cont[w] - DISCOUNT) / total) + back * shared[w] for w in shared}
-            unigram.append((p1, back * unseen))
-            weight.append({a: DISCOUNT * kinds_of[a] / ctx[a] for a in ctx})
-            ratio.append({(a, b): (n - DISCOUNT) / ctx[a] + weight[c][a] * p1[b] for a, b, n in own})
-        p = lambda c, a, b: ratio[c].get((a, b)) or weight[c].get(a, 1.0) * unigram[c][0].get(b, unigram[c][1])
-        self.word = {w: math.log(unigram[1][0][w] / unigram[0][0][w]) for w in shared}
-        self.new = math.log(unigram[1][1] / unigram[0][1])
-        self.context = {a: math.log(weight[1].get(a, 1.0) / weight[0].get(a, 1.0)) for a in {*weight[0], *weight[1]}}
+    """Log-likelihood ratios: of heavy bigrams, and of words in other ones with the context's part added."""
+
+    def __init__(self, words: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int, contexts: dict[str, tuple[int, int]], heavy: list[tuple[str, str, int, int]]):
+        """words: distinct contexts in either class of words with over DISCOUNT in one; totals: their sums over all words;
+        spared: the sum over all words of what of their contexts in both classes is within DISCOUNT; contexts: bigrams by
+        class that begin with a word; heavy: (first, second, n0, n1) of bigrams over DISCOUNT in a class."""
+        over = lambda n: max(0, n - DISCOUNT)
+        back = [1 - sum(over(k[c]) for k in words.values()) / totals[c] for c in (0, 1)]
+        word = [{w: over(k[c]) / totals[c] + back[c] * min(DISCOUNT, sum(k)) / spared for w, k in words.items()} for c in (0, 1)]
+        # a word that is rare in both classes has its shared share times the class's backoff: what is left is a constant
+        self.new = math.log(back[1] / back[0])
+        self.word = {w: math.log(word[1][w] / word[0][w]) for w in words}
+        left = [{a: 1.0 for a in contexts} for _ in (0, 1)]
+        for a, _, *n in heavy:
+            for c in (0, 1):
+                left[c][a] -= over(n[c]) / max(1, contexts[a][c])
+        self.context = {a: math.log(max(left[1][a], 1e-3) / max(left[0][a], 1e-3)) for a in contexts}
         self.bigram = {}
-        for a, b in {*ratio[0], *ratio[1]}:
-            self.bigram[a, b] = math.log(p(1, a, b) / p(0, a, b))
-
-    def features(self, text: bytes | None) -> tuple[float, float]:
-        """Differences of the length-normalised log-likelihoods: of the whole text, and of its most toxic window."""
+        for a, b, *n in heavy:
+            if b in words:
+                both = min(DISCOUNT, sum(n)) / sum(contexts[a])
+                p = [over(n[c]) / max(1, contexts[a][c]) + max(left[c][a], 1e-3) * (both + word[c][b]) / 2 for c in (0, 1)]
+                self.bigram[a, b] = math.log(p[1] / p[0])
+
+    def features(self, text: bytes | None) -> tuple[float, float, float]:
+        """Differences of the length-normalised log-likelihoods of the distinct bigrams: by number, by the number's root, and
+        of the worst window."""
         words = words_of(text)
         if not words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         known, word, context, new = self.bigram.get, self.word.get, self.context.get, self.new
-        ratio, a = [], EDGE
-        for b in words:
-            r = known((a, b))
-            ratio.append(word(b, new) + context(a, 0.0) if r is None else r)
-            a = b
+        pairs = dict.fromkeys(zip([EDGE, *words], words))
+        ratio = [word(p[1], new) + context(p[0], 0.0) if (r := known(p)) is None else r for p in pairs]
         total = np.cumsum([0.0, *ratio])
-        w = min(WINDOW, len(words))
-        return float(total[-1] / len(words)), float((total[w:] - total[:-w]).max() / WINDOW)
+        n, w = len(ratio), min(WINDOW, len(ratio))
+        return float(total[-1] / n), float(total[-1] / math.sqrt(n)), float((total[w:] - total[:-w]).max() / WINDOW)
 
 
-def _grams(rows: DataFrame) -> list[tuple[int, str, str, int]]:
-    """Bigram counts by label, counted in each task before they are summed."""
+def _statistics(rows: DataFrame) -> tuple:
+    """Model's arguments; trigrams are made distinct in each task before they are dealt out. What comes to the driver is bounded by
+    the sample: words and bigrams that occur over DISCOUNT times in it."""
 
     def start():
-        counts = Counter()
+        seen = set()
 
         def work(batch):
             if batch is not None:
                 for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = words_of(text)
-                    counts.update((label, a, b) for a, b in zip([EDGE, *words], words))
-            if counts and (batch is None or len(counts) > 500_000):
-                keys = list(counts)
-                yield {"label": [k[0] for k in keys], "first": [k[1] for k in keys], "second": [k[2] for k in keys], "n": list(counts.values())}
-                counts.clear()
+                    seen.update((label, z, a, b) for z, a, b in zip([EDGE, EDGE, *words], [EDGE, *words], words))
+            if seen and (batch is None or len(seen) > 500_000):
+                yield dict(zip(("label", "before", "first", "second"), zip(*seen, strict=True), strict=True))
+                seen.clear()
 
         return work
 
-    out = map_batches(rows.select("label", "text"), "label int, first string, second string, n bigint", start)
-    # a class's single occurrences are the tail that the backoff counts stand for; both classes keep what either has twice
-    summed = out.groupBy("first", "second").agg(F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("n0"), F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("n1"))
-    found = summed.where(F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0)) > 1).toArrow().to_pydict()
-    return [(c, a, b, n) for a, b, n0, n1 in zip(found["first"], found["second"], found["n0"], found["n1"], strict=True) for c, n in ((0, n0), (1, n1)) if n]
+    out = map_batches(rows.select("label", "text"), "label int, before string, first string, second string", start).distinct()
+    both = stored(out.groupBy("first", "second").agg(F.sum(F.when(F.col("label") == 0, 1)).alias("n0"), F.sum(F.when(F.col("label") == 1, 1)).alias("n1")))
+    kinds = both.groupBy("second").agg(F.count("n0").alias("k0"), F.count("n1").alias("k1"))
+    t0, t1, spared = kinds.agg(F.sum("k0"), F.sum("k1"), F.sum(F.least(F.lit(DISCOUNT), F.col("k0") + F.col("k1")))).first()
+    words = {r[0]: (r[1], r[2]) for r in kinds.where(F.greatest("k0", "k1") > DISCOUNT).collect()}
+    heavy = [tuple(r) for r in both.where(F.greatest("n0", "n1") > DISCOUNT).select("first", "second", F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))).collect()]
+    some = both.sparkSession.createDataFrame([(a,) for a in {h[0] for h in heavy}], "first string")
+    sums = both.join(F.broadcast(some), "first").groupBy("first").agg(F.sum(F.coalesce("n0", F.lit(0))), F.sum(F.coalesce("n1", F.lit(0))))
+    return words, (t0 or 0, t1 or 0), spared or 0, {r[0]: (r[1], r[2]) for r in sums.collect()}, heavy
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray] | None:
-    """The models and the fitted scale (weights of the two features, and a constant), or None without both classes."""
-    rows = sample(docs, labels, id_col, text_col, label_col)
-    grams = _grams(rows.where("fold <> 0"))
-    if {g[0] for g in grams} != {0, 1}:
+    """The models and the fitted scale (weights of the features, and a constant), or None without both classes."""
+    rows, counts = sample(docs, labels, id_col, text_col, label_col)
+    statistics = _statistics(rows.where("fold <> 0"))
+    if not min(statistics[1]):
         return None
-    model = Model(grams)
+    model = Model(*statistics)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
         return lambda texts: [shared.value.features(t) for t in texts]
 
-    unseen = rows.where("fold = 0").select("label", row_function("a double, b double", start)("text").alias("x")).select("label", "x.*").toArrow().to_pydict()
+    unseen = rows.where("fold = 0").select("label", row_function("a double, b double, c double", start)("text").alias("x")).select("label", "x.*").toArrow().to_pydict()
     if len(set(unseen["label"])) < 2:
         return None
-    return model, fit(np.array([unseen["a"], unseen["b"]]).T, np.array(unseen["label"]))
-
-
-def fit(x: np.ndarray, y: np.ndarray, pull: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps, with the classes' own frequencies and slightly pulled to small weights."""
-    mean, sd = x.mean(0), x.std(0) + 1e-9
-    z, w = np.c_[(x - mean) / sd, np.ones(len(x))], np.zeros(x.shape[1] + 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + pull * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (y - p) - pull * w)
-        w += step
-        if abs(step).max() < 1e-8:
+    return model, fit(np.array([unseen["a"], unseen["b"], unseen["c"]]).T, np.array(unseen["label"]), counts[1] / counts[0])
+
+
+def fit(x: np.ndarray, y: np.ndarray, odds: float, pull: float = 0.5) -> np.ndarray:
+    """Logistic regression by Newton steps, slightly pulled to small weights; a feature with a negative weight is left out;
+    the constant is moved from the sample's odds of label 1 to the given ones."""
+    mean, sd, use = x.mean(0), x.std(0) + 1e-9, np.ones(x.shape[1], bool)
+    while True:
+        z, w = np.c_[((x - mean) / sd)[:, use], np.ones(len(x))], np.zeros(use.sum() + 1)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + pull * np.eye(len(w)), z.T @ (y - p) - pull * w)
+            w += step
+            if abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all():
             break
-    return np.r_[w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum()]
+        use[np.flatnonzero(use)[w[:-1].argmin()]] = False
+    out = np.zeros(len(use) + 1)
+    out[:-1][use] = w[:-1] / sd[use]
+    out[-1] = w[-1] - (out[:-1] * mean).sum() + math.log(odds * (1 - y.mean()) / y.mean())
+    return out
 
 
 def score(docs: DataFrame, model: tuple[Model, np.ndarray] | None, text_col: str = "text", into: str = "toxicity") -> tuple[DataFrame, str]:
@@ -165,15 +166,15 @@ def score(docs: DataFrame, model: tuple[Model, np.ndarray] | None, text_col: str
     def start():
         def one(text):
             if shared.value is None:
-                return 0.0, 0.0, 0.0
+                return 0.0, 0.0, 0.0, 0.0
             models, w = shared.value
-            a, b = models.features(text)
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, w[0] * a + w[1] * b + w[2])))), a, b
+            x = models.features(text)
+            return 1 / (1 + math.exp(-max(-500.0, min(500.0, float(w[:3] @ x + w[3]))))), *x
 
         return lambda rows: [one(t) for t in rows]
 
     into = fresh(docs, into)
-    return docs.withColumn(into, row_function("score double, mean double, peak double", start)(utf8(text_col))), into
+    return docs.withColumn(into, row_function("score double, mean double, root double, peak double", start)(utf8(text_col))), into
 
 
 def learned(spark, sf_dir):
