@@ -5,10 +5,14 @@ word before it, as in the lower orders of a trigram model, so copied documents c
 DISCOUNT, backs off to the class's continuation counts (in how many distinct contexts of the class a word occurs), and both
 levels, discounted, back off to what discounting took from the counts of the two classes together: what is rare in a class
 is smoothed by counts that the classes share, so only words and expressions that the classes use differently move a score.
+A word that is rare in both classes (a compound, an inflected form) backs off further, to its longest beginning of up to
+STEM letters that is frequent in one of them: by the same rule, a beginning's count being that of the distinct words it has.
 
 A document's log-likelihoods (of its distinct bigrams, as in training) under both are divided by their number; the difference of these, over the whole text
-and over the window of WINDOW words where it is largest (long texts dilute), are features of a logistic scale that is fitted
-on training documents which the models have not seen; a third is their sum over the root of the number of words.
+and over the window of WINDOW words where it is most above the document's median (long texts dilute, and a language or style
+shifts all words alike), are features of a logistic scale that is fitted on training documents which the models have not
+seen; a third is their sum over the root of the number of words. No bigram counts for more than MOST either way, so that the
+few expressions with large counts don't set a scale by which the many rarer ones are lost.
 
 The training rows are a bounded sample: as many documents of either class, SAMPLE at most, spread by hash over all labelled
 ones (classes of one size keep what is rare in both from telling them apart). Rows whose
@@ -29,7 +33,7 @@ from skiff.llm.common import crc_mod, fresh, map_batches, row_function, stored,
 
 #: The bound on the training sample: documents of each class.
 SAMPLE = 8000
-DISCOUNT, WINDOW = 4, 10
+DISCOUNT, WINDOW, STEM, MOST = 4, 2, 5, 3.5
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 EDGE = ""
 
@@ -52,19 +56,30 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return docs.where(F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("_id")).select("label", h.alias("fold"), utf8(text_col).alias("text")), counts
 
 
+def over(n: int) -> int:
+    return max(0, n - DISCOUNT)
+
+
+def smoothed(counts: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int) -> tuple[list[float], dict[str, tuple[float, ...]]]:
+    """Each class's backoff weight, and its probability of each of counts, the entries with over DISCOUNT in a class.
+    totals: the classes' sums over all entries; spared: the sum over all of what of both classes' counts is within DISCOUNT.
+    Any other entry has its shared part times the weight, so that only the weights tell the classes apart there."""
+    back = [1 - sum(over(k[c]) for k in counts.values()) / max(1, totals[c]) for c in (0, 1)]
+    back = [max(b, 1e-3) for b in back]
+    return back, {w: tuple((over(k[c]) / max(1, totals[c])) + back[c] * min(DISCOUNT, sum(k)) / spared for c in (0, 1)) for w, k in counts.items()}
+
+
 class Model:
     """Log-likelihood ratios: of heavy bigrams, and of words in other ones with the context's part added."""
 
-    def __init__(self, words: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int, contexts: dict[str, tuple[int, int]], heavy: list[tuple[str, str, int, int]]):
-        """words: distinct contexts in either class of words with over DISCOUNT in one; totals: their sums over all words;
-        spared: the sum over all words of what of their contexts in both classes is within DISCOUNT; contexts: bigrams by
-        class that begin with a word; heavy: (first, second, n0, n1) of bigrams over DISCOUNT in a class."""
-        over = lambda n: max(0, n - DISCOUNT)
-        back = [1 - sum(over(k[c]) for k in words.values()) / totals[c] for c in (0, 1)]
-        word = [{w: over(k[c]) / totals[c] + back[c] * min(DISCOUNT, sum(k)) / spared for w, k in words.items()} for c in (0, 1)]
-        # a word that is rare in both classes has its shared share times the class's backoff: what is left is a constant
+    def __init__(self, words: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int, contexts: dict[str, tuple[int, int]], heavy: list[tuple[str, str, int, int]], stems: dict[int, tuple]):
+        """words: distinct contexts in either class of words with over DISCOUNT in one, totals and spared as in smoothed();
+        contexts: bigrams by class that begin with a word; heavy: (first, second, n0, n1) of bigrams over DISCOUNT in a
+        class; stems: smoothed()'s arguments for the words' beginnings of each length."""
+        back, word = smoothed(words, totals, spared)
         self.new = math.log(back[1] / back[0])
-        self.word = {w: math.log(word[1][w] / word[0][w]) for w in words}
+        self.word = {w: math.log(p[1] / p[0]) for w, p in word.items()}
+        self.stem = {b: math.log(p[1] / p[0]) for part in stems.values() for b, p in smoothed(*part)[1].items()}
         left = [{a: 1.0 for a in contexts} for _ in (0, 1)]
         for a, _, *n in heavy:
             for c in (0, 1):
@@ -74,26 +89,36 @@ class Model:
         for a, b, *n in heavy:
             if b in words:
                 both = min(DISCOUNT, sum(n)) / sum(contexts[a])
-                p = [over(n[c]) / max(1, contexts[a][c]) + max(left[c][a], 1e-3) * (both + word[c][b]) / 2 for c in (0, 1)]
+                p = [over(n[c]) / max(1, contexts[a][c]) + max(left[c][a], 1e-3) * (both + word[b][c]) / 2 for c in (0, 1)]
                 self.bigram[a, b] = math.log(p[1] / p[0])
 
+    def rare(self, word: str) -> float:
+        """The ratio of a word that is rare in both classes."""
+        for n in range(min(STEM, len(word) - 1), 0, -1):
+            if (r := self.stem.get(word[:n])) is not None:
+                return r
+        return self.new
+
     def features(self, text: bytes | None) -> tuple[float, float, float]:
         """Differences of the length-normalised log-likelihoods of the distinct bigrams: by number, by the number's root, and
-        of the worst window."""
+        of the worst window, from the median."""
         words = words_of(text)
         if not words:
             return 0.0, 0.0, 0.0
-        known, word, context, new = self.bigram.get, self.word.get, self.context.get, self.new
-        pairs = dict.fromkeys(zip([EDGE, *words], words))
-        ratio = [word(p[1], new) + context(p[0], 0.0) if (r := known(p)) is None else r for p in pairs]
+        known, word, context = self.bigram.get, self.word.get, self.context.get
+        ratio = []
+        for p in dict.fromkeys(zip([EDGE, *words], words)):
+            if (r := known(p)) is None:
+                r = (self.rare(p[1]) if (r := word(p[1])) is None else r) + context(p[0], 0.0)
+            ratio.append(max(-MOST, min(MOST, r)))
         total = np.cumsum([0.0, *ratio])
         n, w = len(ratio), min(WINDOW, len(ratio))
-        return float(total[-1] / n), float(total[-1] / math.sqrt(n)), float((total[w:] - total[:-w]).max() / WINDOW)
+        return float(total[-1] / n), float(total[-1] / math.sqrt(n)), float((total[w:] - total[:-w]).max() / w - np.median(ratio))
 
 
 def _statistics(rows: DataFrame) -> tuple:
     """Model's arguments; trigrams are made distinct in each task before they are dealt out. What comes to the driver is bounded by
-    the sample: words and bigrams that occur over DISCOUNT times in it."""
+    the sample: words, bigrams and beginnings of words that occur over DISCOUNT times in it."""
 
     def start():
         seen = set()
@@ -111,13 +136,18 @@ def _statistics(rows: DataFrame) -> tuple:
 
     out = map_batches(rows.select("label", "text"), "label int, before string, first string, second string", start).distinct()
     both = stored(out.groupBy("first", "second").agg(F.sum(F.when(F.col("label") == 0, 1)).alias("n0"), F.sum(F.when(F.col("label") == 1, 1)).alias("n1")))
-    kinds = both.groupBy("second").agg(F.count("n0").alias("k0"), F.count("n1").alias("k1"))
+    kinds = stored(both.groupBy("second").agg(F.count("n0").alias("k0"), F.count("n1").alias("k1")))
     t0, t1, spared = kinds.agg(F.sum("k0"), F.sum("k1"), F.sum(F.least(F.lit(DISCOUNT), F.col("k0") + F.col("k1")))).first()
     words = {r[0]: (r[1], r[2]) for r in kinds.where(F.greatest("k0", "k1") > DISCOUNT).collect()}
     heavy = [tuple(r) for r in both.where(F.greatest("n0", "n1") > DISCOUNT).select("first", "second", F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))).collect()]
     some = both.sparkSession.createDataFrame([(a,) for a in {h[0] for h in heavy}], "first string")
     sums = both.join(F.broadcast(some), "first").groupBy("first").agg(F.sum(F.coalesce("n0", F.lit(0))), F.sum(F.coalesce("n1", F.lit(0))))
-    return words, (t0 or 0, t1 or 0), spared or 0, {r[0]: (r[1], r[2]) for r in sums.collect()}, heavy
+    begin = kinds.where(F.length("second") > 1).select("k0", "k1", F.explode(F.expr(f"transform(sequence(1, least({STEM}, length(second) - 1)), n -> left(second, n))")).alias("stem"))
+    begin = stored(begin.groupBy("stem").agg(F.count_if(F.col("k0") > 0).alias("k0"), F.count_if(F.col("k1") > 0).alias("k1")))
+    stems = {r[0]: ({}, (r[1], r[2]), r[3]) for r in begin.groupBy(F.length("stem")).agg(F.sum("k0"), F.sum("k1"), F.sum(F.least(F.lit(DISCOUNT), F.col("k0") + F.col("k1")))).collect()}
+    for r in begin.where(F.greatest("k0", "k1") > DISCOUNT).collect():
+        stems[len(r[0])][0][r[0]] = (r[1], r[2])
+    return words, (t0 or 0, t1 or 0), spared or 0, {r[0]: (r[1], r[2]) for r in sums.collect()}, heavy, stems
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray] | None:
