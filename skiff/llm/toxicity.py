@@ -168,16 +168,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model, fit(np.array([unseen["a"], unseen["b"], unseen["c"]]).T, np.array(unseen["label"]), counts[1] / counts[0])
 
 
-def fit(x: np.ndarray, y: np.ndarray, odds: float, pull: float = 0.5) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, odds: float, pull: float = 0.02) -> np.ndarray:
     """Logistic regression by Newton steps, slightly pulled to small weights; a feature with a negative weight is left out;
     the constant is moved from the sample's odds of label 1 to the given ones."""
     mean, sd, use = x.mean(0), x.std(0) + 1e-9, np.ones(x.shape[1], bool)
     while True:
         z, w = np.c_[((x - mean) / sd)[:, use], np.ones(len(x))], np.zeros(use.sum() + 1)
-        for _ in range(50):
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z.T * (p * (1 - p))) @ z + pull * np.eye(len(w)), z.T @ (y - p) - pull * w)
-            w += step
+            w += step * min(1.0, 2 / max(abs(step).max(), 1e-12))  # short steps: classes that part cleanly have large weights
             if abs(step).max() < 1e-8:
                 break
         if (w[:-1] >= 0).all():
