@@ -14,6 +14,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch, unless the session says otherwise: whole texts by Spark's 10,000 rows a batch are held many times
+#: over, in the JVM outside its heap and in Python.
+BATCH_BYTES = "4m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +87,8 @@ def row_function(schema: str, start: Callable[[], Callable[[list], Sequence[Sequ
                 parts.append(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], out.field(i).type) for i in range(out.num_fields)], fields=list(out)))
             yield pa.concat_arrays(parts) if parts else pa.array([], out)
 
+    if spark := SparkSession.getActiveSession():
+        bound_batches(spark)
     # not deterministic: else the optimizer may run it once for each use of its result
     return F.arrow_udf(run, kind).asNondeterministic()
 
@@ -93,6 +104,7 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
             for cols in work(batch) or ():
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if not isinstance(cols[n], pa.Array) else cols[n].cast(t) for n, t in names], names=[n for n, _ in names])
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
