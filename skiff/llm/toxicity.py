@@ -9,8 +9,8 @@ A word that is rare in both classes (a compound, an inflected form) backs off fu
 STEM letters that is frequent in one of them: by the same rule, a beginning's count being that of the distinct words it has.
 
 A document's log-likelihoods (of its distinct bigrams, as in training) under both are divided by their number; the difference of these, over the whole text
-and over the window of WINDOW words where it is most above the document's median (long texts dilute, and a language or style
-shifts all words alike), are features of a logistic scale that is fitted on training documents which the models have not
+and over the PEAKS bigrams, wherever they are, that are most above the document's median (long texts dilute, toxic words may be scattered,
+and a language or style shifts all words alike), are features of a logistic scale that is fitted on training documents which the models have not
 seen; a third is their sum over the root of the number of words. No bigram counts for more than MOST either way, so that the
 few expressions with large counts don't set a scale by which the many rarer ones are lost.
 
@@ -33,7 +33,7 @@ from skiff.llm.common import crc_mod, fresh, map_batches, row_function, stored,
 
 #: The bound on the training sample: documents of each class.
 SAMPLE = 8000
-DISCOUNT, WINDOW, STEM, MOST = 4, 2, 5, 3.5
+DISCOUNT, PEAKS, STEM, MOST = 4, 2, 5, 3.5
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 EDGE = ""
 
@@ -101,7 +101,7 @@ class Model:
 
     def features(self, text: bytes | None) -> tuple[float, float, float]:
         """Differences of the length-normalised log-likelihoods of the distinct bigrams: by number, by the number's root, and
-        of the worst window, from the median."""
+        of the worst PEAKS of them, from the median."""
         words = words_of(text)
         if not words:
             return 0.0, 0.0, 0.0
@@ -111,9 +111,9 @@ class Model:
             if (r := known(p)) is None:
                 r = (self.rare(p[1]) if (r := word(p[1])) is None else r) + context(p[0], 0.0)
             ratio.append(max(-MOST, min(MOST, r)))
-        total = np.cumsum([0.0, *ratio])
-        n, w = len(ratio), min(WINDOW, len(ratio))
-        return float(total[-1] / n), float(total[-1] / math.sqrt(n)), float((total[w:] - total[:-w]).max() / w - np.median(ratio))
+        ordered = np.sort(ratio)
+        n, total = len(ordered), ordered.sum()
+        return float(total / n), float(total / math.sqrt(n)), float(ordered[-PEAKS:].mean() - np.median(ordered))
 
 
 def _statistics(rows: DataFrame) -> tuple:
