@@ -1,18 +1,19 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 Symbols are lower-cased words [^\\x20\\x09-\\x0D]+ and one end of text (the empty string). The root's distribution is
-(c + 0.5) / (N + 0.5 * (V + 1)) from counts c of all training tokens. Contexts of one and two preceding words (the start of a
-text is a word too) are states if they pass both tests: they occur in at least CONTEXT_SHARE of the tokens, and what follows
-them diverges from their suffix's distribution: sum of count * ln(P(next | context) / P(next | suffix)) is at least GAIN for
-each next symbol kept, where a next symbol is kept if the pair or triple occurs in at least NEXT_SHARE of the tokens and its
-probability differs by a factor of RATIO. Kept symbols have absolutely discounted counts; the rest of a state's mass goes to
-its suffix's distribution, so every state is smoothed down to the root. A token is scored in the state of the longest suffix
-of its history.
-
-Sizes: the shares bound the states to 1 / CONTEXT_SHARE an order and the kept symbols to 1 / NEXT_SHARE, whatever the corpus,
-and the words with a number (the head) to 1 / HEAD_SHARE; that is what is broadcast. Counts cover all training tokens. Words
-outside the head are the tail: their counts stay a table, and are joined to the texts' tail words; in any state, their
-probability is the state's backoff weight times the root's, so one join serves both scores.
+(c + 0.5) / (N + 0.5 * (V + 1)) from counts c of all training tokens. Contexts of up to ORDERS preceding words (the start of a
+text is a word too) are states if they pass both tests: they occur LEAST times, and what follows them diverges from their
+suffix's distribution: sum of count * ln(P(next | context) / P(next | suffix)) is at least GAIN for each next symbol kept,
+where a next symbol is kept if it follows LEAST times and its probability differs by a factor of RATIO. Kept symbols have
+absolutely discounted counts; the rest of a state's mass goes to its suffix's distribution, so every state is smoothed down
+to the root. A token is scored in the state of the longest suffix of its history.
+
+Sizes: the tests are on counts, so words, states and kept symbols grow with the corpus. They are a table (key, value, word)
+of what each adds to a token's logarithm: a word its root's, a state its backoff weight, a kept symbol the rest. It is joined
+to the keys that a text has, so one join serves both scores. Only copies of bounded size are broadcast: the frequent words,
+states and symbols (*_SHARE of the tokens), looked up without the join, and bitmaps of up to 2 ** BITS bits that keep keys
+out of counting and joining which cannot be there; neither changes a result. Keys are 64-bit hashes of words and of the keys
+of a gram's two ends (Spark's xxhash64), so two grams of n share one with a probability of about n * n / 2 ** 65.
 
 Cases: a null text is empty: one token, the end. With no training text, N and V are 0. A text of unknown words has known
 probabilities from the root's share for unseen ones. Repeated documents are each answered (and each trained on).
@@ -22,14 +23,19 @@ import math
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skiff.llm.common import crc_mod, map_batches, row_function, stored, table, utf8
 
+#: What is broadcast: words, states and symbols from these shares of all tokens on.
 HEAD_SHARE, CONTEXT_SHARE, NEXT_SHARE = 4e-6, 1e-5, 2e-6
-GAIN, RATIO, DISCOUNT, LEAST = 3.0, 1.2, 0.5, 3
+ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 2, 3.0, 1.2, 0.5, 3
+BITS = 28
 END = b""
+#: Keys of the start of a text, and of the symbol that stands for a state's own weight; no word holds a blank.
+START, STATE = (xxhash.xxh64_intdigest(b, 42) for b in (b" start", b" state"))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -55,25 +61,85 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("text"), "token string, n bigint", start).groupBy("token").agg(F.sum("n").alias("n"))
 
 
+class Keys(dict):
+    """The words' keys, as F.xxhash64 gives them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = key = xxhash.xxh64_intdigest(word, 42)
+        return key
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hash_long(x, seed):
+    h = (seed + _P5 + np.uint64(8)) ^ (_rotated(x * _P2, 31) * _P1)
+    h = _rotated(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_keys(context: np.ndarray, following) -> np.ndarray:
+    """F.xxhash64(context, following)."""
+    with np.errstate(over="ignore"):
+        return _hash_long(following, _hash_long(context, np.uint64(42)))
+
+
+def _laid_out(texts: list[list[bytes]], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """Of the texts one after the other, each led by a start: the words' keys and their places in their text."""
+    get = keys.__getitem__
+    w = np.array([k for t in texts for k in (START, *map(get, t))], np.uint64)
+    n = np.array([len(t) + 1 for t in texts], np.int64)
+    return w, np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each remainder of the column key."""
+    size = 1 << max(15, min(BITS, (16 * keys.count()).bit_length()))
+    at = F.pmod("key", F.lit(size)) + 1
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for r in keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
+        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _gram_counts(texts: DataFrame, shared, order: int) -> DataFrame:
-    """(key, n) of the pairs or triples that may be kept; see Tree.grams."""
+    """(ctx, next, n): keys of the first and of the last order words of each run of order + 1 words, and its count.
+    shared: a bitmap of those that may occur LEAST times; others are left out."""
 
     def start():
-        tree, held, size = shared.value, [], 0
+        words, held, size = Keys(), [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return {"key": keys, "n": n}
+            ctx, following = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            _, at, n = np.unique(gram_keys(ctx, following), return_index=True, return_counts=True)
+            return {"ctx": ctx[at].view(np.int64), "next": following[at].view(np.int64), "n": n}
 
         def work(batch):
             nonlocal size
             if batch is not None:
                 texts = batch.column(0).to_pylist()
                 for at in range(0, len(texts), 256):
-                    got = tree.grams([words_of(t) for t in texts[at : at + 256]], order)
-                    held.append(got)
-                    size += len(got)
-                    if size > 6_000_000:
+                    g, place = _laid_out([words_of(t) for t in texts[at : at + 256]], words)
+                    for _ in range(order - 1):
+                        g = gram_keys(g[:-1], g[1:])
+                    there = _may_hold(shared.value, g)
+                    ok = there[:-1] & there[1:] & (place[order:] >= order)
+                    held.append((g[:-1][ok], g[1:][ok]))
+                    size += len(held[-1][0])
+                    if size > 4_000_000:
                         yield flush()
                         held.clear()
                         size = 0
@@ -82,7 +148,7 @@ def _gram_counts(texts: DataFrame, shared, order: int) -> DataFrame:
 
         return work
 
-    return map_batches(texts.select("text"), "key bigint, n bigint", start).groupBy("key").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("text"), "ctx bigint, next bigint, n bigint", start).groupBy("ctx", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,139 +160,118 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Head words are numbered 0 to start - 1; start stands for a text's beginning, -1 for a word of the tail."""
+    """What is broadcast: the head (frequent words and their numbers), for each order the frequent entries' keys and
+    values, and the bitmap of all its entries."""
 
-    def __init__(self, head: list[tuple[str, int]], total: int, kinds: int, texts: int):
-        self.total, self.start, self.width = total, len(head), len(head) + 1
+    def __init__(self, head: list[tuple[str, int]], total: int, kinds: int):
+        self.total, self.unit = total, total + 0.5 * (kinds + 1)
         self.number = {t.encode(): i for i, (t, _) in enumerate(head)}
-        self.counts = np.array([n for _, n in head] + [texts], np.float64)
-        self.root = np.log((self.counts[:-1] + 0.5) / (total + 0.5 * (kinds + 1)))
-        self.context = np.concatenate([self.counts >= max(LEAST, CONTEXT_SHARE * total)])
-        empty = np.zeros(0, np.int64)
-        self.keys = [empty, empty]  # candidates' keys of the two orders, then those kept
-        self.pairs = empty  # all pairs that occur often enough, to sift triples
-        self.states = empty  # two-word contexts that occur often enough: keys of their pairs
-        self.logs, self.backoff = [np.zeros(0), np.zeros(0)], [np.full(self.width, np.nan), np.zeros(0)]
-
-    def _numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the texts one after the other, each led by two starts: the words' numbers, the one before, the one before that."""
-        get, s = self.number.get, self.start
-        x = np.array([i for w in texts for i in (s, s, *[get(t, -1) for t in w])], np.int64)
-        return x[2:], x[1:-1], x[:-2]
-
-    def grams(self, texts: list[list[bytes]], order: int) -> np.ndarray:
-        x, u, t = self._numbers(texts)
-        ok = (x >= 0) & (x != self.start) & (u >= 0) & self.context[u]
-        key = u * self.width + x
-        if order == 1:
-            return key[ok]
-        ok &= (t >= 0) & (u != self.start)
-        x, key, ctx = x[ok], key[ok], (t * self.width + u)[ok]
-        at, there = _find(self.states, ctx)
-        there &= _find(self.pairs, key)[1]
-        return at[there] * self.width + x[there]
-
-    def _log_in_suffix(self, order: int, ctx: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """ln P(x | the context without its first word)."""
-        if order == 0:
-            return self.root[x]
-        u = self.states[ctx] % self.width
-        at, kept = _find(self.keys[0], u * self.width + x)
-        back = np.nan_to_num(self.backoff[0][u]) + self.root[x]
-        return np.where(kept, self.logs[0][at] if len(self.logs[0]) else 0.0, back)
-
-    def grow(self, order: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> None:
-        """Keeps the contexts of one order that pass. contexts: how often each occurs."""
-        ctx, x = keys // self.width, keys % self.width
-        p, q = (n - DISCOUNT) / contexts[ctx], np.exp(self._log_in_suffix(order, ctx, x))
-        gain = n * np.log(p / q)
-        keep = np.abs(np.log(p / q)) >= math.log(RATIO)
-        total, many = np.bincount(ctx[keep], gain[keep], len(contexts)), np.bincount(ctx[keep], minlength=len(contexts))
-        state = (many > 0) & (total >= GAIN * many)
-        keep &= state[ctx]
-        left = 1 - np.bincount(ctx[keep], p[keep], len(contexts))
-        suffix = 1 - np.bincount(ctx[keep], q[keep], len(contexts))
-        backoff = np.full(len(contexts), np.nan)
-        backoff[state] = np.log(np.maximum(left[state], 1e-9) / np.maximum(suffix[state], 1e-9))
-        self.keys[order], self.logs[order], self.backoff[order] = keys[keep], np.log(p[keep]), backoff
-
-    def score(self, texts: list[list[bytes]]) -> list[tuple]:
-        """For each text: tokens, tokens in the head, sums of log10 P in the root and in the longest state (without the root's
-        part of tail words), tail words and their numbers."""
-        x, u, t = self._numbers(texts)
-        known = (x >= 0) & (x != self.start)
-        base = np.where(known, self.root[np.where(known, x, 0)] if self.start else 0.0, 0.0)
-        u_ok = u >= 0
-        back = np.where(u_ok, self.backoff[0][np.where(u_ok, u, 0)], np.nan)
-        value = base + np.nan_to_num(back)
-        at, kept = _find(self.keys[0], u * self.width + x)
-        kept &= u_ok & known
-        value[kept] = self.logs[0][at[kept]]
-        both = u_ok & (t >= 0) & (u != self.start)
-        state, there = _find(self.states, t * self.width + u)
-        there &= both
-        there[there] = ~np.isnan(self.backoff[1][state[there]])
-        value[there] += self.backoff[1][state[there]]
-        at, kept = _find(self.keys[1], state * self.width + x)
-        kept &= there & known
-        value[kept] = self.logs[1][at[kept]]
-        out, begin, get = [], 0, self.number.get
-        ten = math.log(10)
-        for w in texts:
-            end = begin + len(w)
-            tail = Counter(k.decode("utf-8", "replace") for k in w if k not in self.number) if not known[begin:end].all() else {}
-            out.append((len(w), int(known[begin:end].sum()), float(base[begin:end].sum() / ten), float(value[begin:end].sum() / ten), list(tail), list(tail.values())))
-            begin = end + 2
+        self.root = np.log10((np.array([n for _, n in head], np.float64) + 0.5) / self.unit)
+        self.keys: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.bitmaps: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, values: np.ndarray, bitmap: np.ndarray) -> None:
+        by = np.argsort(keys)
+        self.keys.append(keys[by])
+        self.values.append(values[by])
+        self.bitmaps.append(bitmap)
+
+    def score(self, texts: list[list[bytes]], words: Keys | None = None) -> list[tuple]:
+        """For each text: tokens, tokens in the head, sums of log10 P in the root and in the longest state as far as known
+        here, and the keys to look up for the rest: those of tail words and of entries that are not broadcast."""
+        w, place = _laid_out(texts, Keys() if words is None else words)
+        get = self.number.get
+        number = np.array([i for t in texts for i in (-1, *[get(x, -1) for x in t])], np.int64)
+        known = number >= 0
+        base = np.zeros(len(w))
+        base[known] = self.root[number[known]]
+        value = base.copy()
+        tail = ~known & (place > 0)
+        where, more = [np.flatnonzero(tail)], [w[tail]]
+        g = w
+        for order, (keys, values, bitmap) in enumerate(zip(self.keys, self.values, self.bitmaps, strict=True), 1):
+            full = place[order:] >= order
+            state, g = gram_keys(g[:-1], np.uint64(STATE)), gram_keys(g[:-1], g[1:])
+            for k in (state, g):
+                at = np.flatnonzero(full & _may_hold(bitmap, k))
+                found, there = _find(keys, k[at])
+                value[at[there] + order] += values[found[there]]
+                where.append(at[~there] + order)
+                more.append(k[at[~there]])
+        where, more = np.concatenate(where), np.concatenate(more).view(np.int64)
+        by = np.argsort(where, kind="stable")
+        where, more = where[by], more[by]
+        out, begin = [], 0
+        for t in texts:
+            end = begin + len(t) + 1
+            a, b = np.searchsorted(where, (begin, end))
+            out.append((len(t), int(known[begin:end].sum()), float(base[begin:end].sum()), float(value[begin:end].sum()), more[a:b]))
+            begin = end
         return out
 
 
+def _grown(grams: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The next order: its grams as (key, n, lp: ln P(last word | the others), value: null unless kept), and its states as
+    (key, n, value). known: (key, n, lp) of the order before."""
+    grams = stored(grams.join(known.select(F.col("key").alias("ctx"), F.col("n").alias("times")), "ctx").join(known.select(F.col("key").alias("next"), F.col("lp").alias("lq")), "next").withColumn("p", F.log((F.col("n") - DISCOUNT) / F.col("times"))))
+    keep = F.abs(F.col("p") - F.col("lq")) >= math.log(RATIO)
+    sums = grams.where(keep).groupBy("ctx", "times").agg(F.count(F.lit(1)).alias("many"), F.sum(F.col("n") * (F.col("p") - F.col("lq"))).alias("gain"), F.sum(F.exp("p")).alias("p"), F.sum(F.exp("lq")).alias("q"))
+    left = lambda c: F.greatest(1 - F.col(c), F.lit(1e-9))
+    states = stored(sums.where(F.col("gain") >= GAIN * F.col("many")).select("ctx", "times", F.log(left("p") / left("q")).alias("back")))
+    suffix = F.coalesce("back", F.lit(0.0)) + F.col("lq")
+    kept = keep & F.col("back").isNotNull()
+    out = grams.join(states.select("ctx", "back"), "ctx", "left").select(F.xxhash64("ctx", "next").alias("key"), "n", F.when(kept, F.col("p")).otherwise(suffix).alias("lp"), F.when(kept, F.col("p") - suffix).alias("value"))
+    return stored(out), states.select(F.xxhash64("ctx", F.lit(_signed(STATE))).alias("key"), F.col("times").alias("n"), F.col("back").alias("value"))
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of the texts (column text: bytes or null), and the table of all token counts."""
-    sc = texts.sparkSession.sparkContext
+    """The tree of the texts (column text: bytes or null), and the table (key, value, word) of all words and entries."""
+    spark = texts.sparkSession
     counts = stored(token_counts(texts))
     total, kinds, ends = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("token") == "", F.col("n")))).first()
     total = total or 0
     head = counts.where(F.col("n") >= max(2, HEAD_SHARE * total)).orderBy(F.desc("n"), "token").collect() if total else []
-    tree = Tree([(r.token, r.n) for r in head], total, kinds, ends or 0)
-    least = max(LEAST, NEXT_SHARE * total)
-    if head:
-        for order in (0, 1):
-            shared = sc.broadcast(tree)
-            rows = _gram_counts(texts, shared, order + 1).where(F.col("n") >= least).toArrow()
-            keys, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
-            by = np.argsort(keys)
-            keys, n = keys[by], n[by]
-            if order == 0:
-                tree.grow(0, keys, n, tree.counts)
-                often = n >= max(LEAST, CONTEXT_SHARE * total)
-                tree.pairs, tree.states, contexts = keys, keys[often], n[often]
-                tree.backoff[1] = np.full(len(contexts), np.nan)
-            else:
-                tree.grow(1, keys, n, contexts)
-                tree.pairs = tree.pairs[:0]
-            shared.unpersist()
-    return tree, counts
+    tree = Tree([(r.token, r.n) for r in head], total, kinds)
+    root = F.log((F.col("n") + 0.5) / F.lit(tree.unit))
+    words = counts.select(F.xxhash64("token").alias("key"), "n", root.alias("lp"))
+    whole = words.select("key", (F.col("lp") / math.log(10)).alias("value"), F.lit(True).alias("word"))
+    known = words.unionByName(spark.createDataFrame([(_signed(START), ends or 0, 0.0)], words.schema)).where(F.col("n") >= LEAST)
+    for order in range(1, ORDERS + 1):
+        shared = spark.sparkContext.broadcast(_bitmap(known.select("key")))
+        known, states = _grown(_gram_counts(texts, shared, order), known)
+        shared.unpersist()
+        entries = states.withColumn("least", F.lit(CONTEXT_SHARE * total)).unionByName(known.where("value is not null").select("key", "n", "value", F.lit(NEXT_SHARE * total).alias("least"))).withColumn("value", F.col("value") / math.log(10))
+        bitmap = _bitmap(entries.select("key"))
+        if not bitmap.any():
+            break
+        near = entries.where("n >= least").select("key", "value").toArrow()
+        tree.add(near["key"].to_numpy().view(np.uint64), near["value"].to_numpy(), bitmap)
+        whole = whole.unionByName(entries.select("key", "value", F.lit(False).alias("word")))
+    return tree, whole
 
 
 def score(docs: DataFrame, model: tuple[Tree, DataFrame], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(id_col, the extra columns, n_tokens, n_known, base_score, score): one row for each row of docs."""
-    tree, counts = model
+    tree, whole = model
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def start():
-        return lambda rows: shared.value.score([words_of(t) for t in rows])
+        words = Keys()
+        return lambda rows: shared.value.score([words_of(t) for t in rows], words)
 
-    kind = "n bigint, head bigint, base double, score double, tail array<string>, times array<bigint>"
+    kind = "n bigint, head bigint, base double, score double, more array<bigint>"
     marked = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), *(c.alias(k) for k, c in (extra or {}).items()), row_function(kind, start)(utf8(text_col)).alias("_s")))
-    tail = marked.select("_row", F.explode(F.arrays_zip("_s.tail", "_s.times")).alias("t")).select("_row", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
-    total, kinds = tree.total, counts.count()
-    c = F.coalesce("n", F.lit(0))
-    found = tail.join(counts, "token", "left").groupBy("_row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(total + 0.5 * (kinds + 1)))).alias("_tail"),
-    )
-    more = F.coalesce("_tail", F.lit(0.0))
-    return marked.join(found, "_row", "left").select(id_col, *(extra or {}), F.col("_s.n").alias("n_tokens"), (F.col("_s.head") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("_s.base") + more).alias("base_score"), (F.col("_s.score") + more).alias("score"))
+    more = marked.select("_row", F.explode("_s.more").alias("key"))
+    found = more.join(whole, "key").groupBy("_row").agg(F.count_if("word").alias("_known"), F.sum(F.when(F.col("word"), F.col("value"))).alias("_base"), F.sum("value").alias("_all"))
+    known = F.col("_s.head") + F.coalesce("_known", F.lit(0))
+    unseen = (F.col("_s.n") - known) * F.lit(math.log10(0.5 / tree.unit))
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0.0)) + unseen)
+    return marked.join(found, "_row", "left").select(id_col, *(extra or {}), F.col("_s.n").alias("n_tokens"), known.alias("n_known"), plus("_s.base", "_base").alias("base_score"), plus("_s.score", "_all").alias("score"))
 
 
 def query(spark, sf_dir):

@@ -270,3 +270,49 @@ def test_suffix_tree_sums_to_one(spark):
             lp = a[3] - b[3] if w != b"unseen" else a[3] - b[3] + np.log10(0.5 / (tree.total + 0.5 * (len(tree.number) + 1)))
             total += 10**lp
         assert abs(total - 1) < 1e-6
+
+
+def suffix_tree_by_brute_force(texts, orders):
+    """ln P(word | history) of a tree kept by counts alone."""
+    import math
+    from collections import Counter
+
+    s, grams = suffix_tree, Counter()
+    for t in texts:
+        w = [None, *t.lower().split(), ""]
+        grams.update(tuple(w[i : i + k + 1]) for k in range(orders + 1) for i in range(len(w) - k))
+    root = {g[0]: n for g, n in grams.items() if len(g) == 1 and g[0] is not None}
+    unit, states = sum(root.values()) + 0.5 * (len(root) + 1), {}
+
+    def lp(history, word):
+        if not history:
+            return math.log((root.get(word, 0) + 0.5) / unit)
+        back, kept = states.get(history, (0.0, {}))
+        return kept[word] if word in kept else back + lp(history[1:], word)
+
+    for k in range(1, orders + 1):
+        after = {}
+        for g, n in grams.items():
+            if len(g) == k + 1 and n >= s.LEAST:
+                p, q = math.log((n - s.DISCOUNT) / grams[g[:-1]]), lp(g[1:-1], g[-1])
+                if abs(p - q) >= math.log(s.RATIO):
+                    after.setdefault(g[:-1], []).append((g[-1], n, p, q))
+        for c, kept in after.items():
+            if sum(n * (p - q) for _, n, p, q in kept) >= s.GAIN * len(kept):
+                left, suffix = (max(1 - sum(math.exp(x[i]) for x in kept), 1e-9) for i in (2, 3))
+                states[c] = math.log(left / suffix), {x: p for x, _, p, _ in kept}
+    return lambda t: sum(lp(tuple(w[max(0, i - orders) : i]), w[i]) for w in [[None, *t.lower().split(), ""]] for i in range(1, len(w))) / math.log(10)
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_suffix_tree_keeps_by_counts(spark, monkeypatch, share):
+    for k in ("HEAD_SHARE", "CONTEXT_SHARE", "NEXT_SHARE"):
+        monkeypatch.setattr(suffix_tree, k, share)
+    r = random.Random(9)
+    texts = [" ".join(r.choices("abcdefghijklm", range(13, 0, -1), k=30)) + r.choice([" P q r", " s q t", " p q"]) for _ in range(80)] + ["p q r"] * 3
+    model = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "t string").select(common.utf8("t").alias("text")))
+    docs = [*texts[:20], "p q r s q t", "", "a p q r unseen q t", "unseen"]
+    got = {x.doc_id: x for x in suffix_tree.score(spark.createDataFrame(enumerate(docs), "doc_id long, text string"), model).collect()}
+    want = suffix_tree_by_brute_force(texts, suffix_tree.ORDERS)
+    assert np.allclose([got[i].score for i in range(len(docs))], [want(t) for t in docs])
+    assert [got[i].n_tokens - got[i].n_known for i in range(20, 24)] == [0, 0, 1, 1]
