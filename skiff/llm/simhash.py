@@ -21,7 +21,7 @@ null link like others, and their group's smallest id that is not null stands for
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -133,10 +133,11 @@ def _start():
     return lambda rows: [(fingerprint(t),) for t in rows]
 
 
-def _components_of(marked: DataFrame) -> DataFrame:
-    """marked: (_id, _fp, ...), stored. Adds the columns component (a fingerprint) and component_id."""
+def _components_of(marked: DataFrame, linked=links) -> DataFrame:
+    """marked: (_id, _fp, ...), stored. Adds the columns component (a fingerprint) and component_id. linked gives the edges
+    of the distinct fingerprints."""
     groups = stored(marked.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    comp = components(links(groups.select("_fp"))).withColumnRenamed("node", "_fp")
+    comp = components(linked(groups.select("_fp"))).withColumnRenamed("node", "_fp")
     named = groups.join(comp, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
     least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
     return marked.join(named.join(least, "component").select("_fp", "component", "component_id"), "_fp")
@@ -152,9 +153,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id (null last), and of those the smallest digest of id and
     text; of rows that agree in both, one stays."""
-    digest = F.sha2(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))), 256)
-    marked = stored(docs.select(F.col(id_col).alias("_id"), digest.alias("_key"), row_function("fp bigint", _start)(utf8(text_col))["fp"].alias("_fp")))
-    keep = _components_of(marked).groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_key"))).alias("w")).select(F.col("w._key").alias("_key"))
+    digest_ = digest(id_col, text_col)
+    marked = stored(docs.select(F.col(id_col).alias("_id"), digest_.alias("_key"), row_function("fp bigint", _start)(utf8(text_col))["fp"].alias("_fp")))
+    return one_of_each(docs, digest_, _components_of(marked))
+
+
+def digest(id_col: str, text_col: str) -> Column:
+    """Of a row's id and text."""
+    return F.sha2(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
+def one_of_each(docs: DataFrame, digest: Column, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay. found: (_id, _key: the row's digest, component)."""
+    keep = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_key"))).alias("w")).select(F.col("w._key").alias("_key"))
     chosen = docs.withColumn("_key", digest).join(keep, "_key")
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
     return chosen.withColumn("_row", first).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

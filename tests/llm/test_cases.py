@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skiff.llm import bpe, chat, common, decontaminate, embeddings, language, secrets, simhash, suffix_tree, toxicity, warc
+from skiff.llm import bpe, chat, common, decontaminate, embeddings, language, secrets, shingles, simhash, suffix_tree, toxicity, warc
 
 LONG = "word " * 30000 + "x" * 100000
 TEXTS = [None, "", " \n", "one", "one two", "one two three four", LONG, "é漢😀 <|endoftext|> a", "one two three four"]
@@ -316,3 +316,45 @@ def test_suffix_tree_keeps_by_counts(spark, monkeypatch, share):
     want = suffix_tree_by_brute_force(texts, suffix_tree.ORDERS)
     assert np.allclose([got[i].score for i in range(len(docs))], [want(t) for t in docs])
     assert [got[i].n_tokens - got[i].n_known for i in range(20, 24)] == [0, 0, 1, 1]
+
+
+def near_copies_by_brute_force(rows):
+    """The ids that stay: five-word shingles, Jaccard similarity 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, k) for i, a in enumerate(sets) for k, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    root = common.local_roots(len(rows), *np.array(near).T)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root[i]] = min(d, least.get(root[i], d))
+    return set(least.values())
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_shingles(spark, empty, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    r = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = [r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(r.choice([3, 5, 6, 9, 60, 200]))]
+        rows += [" ".join(base)] * 2
+        for changes in range(8):
+            w = list(base)
+            for _ in range(changes):
+                w[r.randrange(len(w))] = "new" + str(r.randrange(9))
+            rows.append(" ".join(w + ["more"] * (changes % 3)))
+    rows = list(enumerate([*rows, None, "", " "]))
+    r.shuffle(rows)
+    got = shingles.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == near_copies_by_brute_force(rows)
+    assert shingles.deduplicate(empty).count() == 0
+
+
+def test_pipeline_drops_similar_documents(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    got = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, None).select("doc_id").collect()}
+    assert got == near_copies_by_brute_force([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
