@@ -2,8 +2,9 @@
 
 The fixed patterns are assign, access and hex (see BASE). The lexer reads a text as loosely written source or
 configuration: it takes (name, value) pairs from `name = value`, `name: value`, `"name": value`, `name := value`,
-`export NAME=value` and the like, where a value is a quoted literal, several joined by `+`, a bare literal, or another
-name. Names are constants from then on: a value that is a name stands for the literals last assigned to it, so a
+`export NAME=value`, `x["name"] = value`, `name: type = value`, `a = b = value` and the like, where a value is a quoted
+literal, several joined by `+` (scored as one) or listed in brackets, a bare literal, another name, or a literal on the line
+after `name:`. Names are constants from then on: a value that is a name stands for the literals last assigned to it, so a
 literal flows to each name it reaches. A literal is scored by the most sensitive name that it reaches (the name's words,
 see NAME_WORDS) and by its shape (length, kinds of characters, distinct characters); at SCORE or more it is a finding of
 kind `literal`, unless a fixed pattern's span holds it already.
@@ -32,8 +33,17 @@ NAME_WORDS = {
     "auth": 2, "authorization": 2, "bearer": 2, "signature": 1, "private": 1, "access": 1, "api": 1, "client": 0.5, "key": 1.5, "pin": 1, "salt": 1, "cookie": 1, "session": 1, "dsn": 1, "cert": 1,
 }
 SCORE = 4.0
-_PAIR = re.compile(rb"""(?<![A-Za-z0-9_$.\-])[0-9.\-]*+([A-Za-z_$][A-Za-z0-9_$.\-]*+)["'\]]?[ \t]*+(?::=|=>|[:=])(?![=:>])[ \t]*+(?=["'A-Za-z0-9+/_$])""")
-_QUOTED = re.compile(rb"""[bruf]{0,2}+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_PAIR = re.compile(
+    rb"""(?<![A-Za-z0-9_$.\-])[0-9.\-]*+([A-Za-z_$][A-Za-z0-9_$.\-]*+)(?:["']\]?|\])?[ \t]*+"""
+    rb"""(?:(?::=|=>|[:=])(?![=:>])[ \t]*+(?=["'`A-Za-z0-9+/_$]|[(\[][(\[ \t\r\n]*+[bruf]{0,2}["'`])"""
+    rb"""|:[ \t]*+(?:[|>][+\-]?[ \t]*+)?(\r?\n)[ \t]++(?:-[ \t]++)?(?=["'`A-Za-z0-9+/_$]))"""
+)
+_QUOTED = re.compile(rb"""[bruf]{0,2}+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`)""")
+_OPEN = re.compile(rb"""[(\[][(\[ \t\r\n]*+(?=[bruf]{0,2}["'`])""")
+_NEXT = re.compile(rb"""[ \t\r\n]*+(,?)[ \t\r\n]*+(?=[bruf]{0,2}["'`])""")
+# a further target of a chained assignment, or an annotation
+_CHAIN = re.compile(rb"""([A-Za-z_$][A-Za-z0-9_$.]*+)(?:\[[^\]\n]{0,200}+\])?(?:[ \t]++:?=(?![=>])[ \t]*+(?=["'`A-Za-z0-9+/_$(\[])|=(?=["'`]))""")
+_END = re.compile(rb"[ \t]*+(?:\r?\n|\Z)")
 _BARE = re.compile(rb"[A-Za-z0-9+/_$.=~@!%^*-]++")
 _JOIN = re.compile(rb"[ \t]*\+[ \t]*(?:\\?\n[ \t]*)?")
 _IDENT = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$.]*+\Z")
@@ -48,9 +58,12 @@ def name_score(name: bytes) -> float:
     return found[0] + 0.5 * sum(found[1:3]) if found else 0.0
 
 
-def literal_score(value: bytes) -> float:
-    """How much a literal looks like a secret: length, kinds of characters and distinct characters; 0 for plain words."""
-    if len(value) < 6 or not value.strip() or b" " in value:
+def literal_score(value: bytes, strong: bool = False) -> float:
+    """How much a literal looks like a secret: length, kinds of characters and distinct characters; 0 for plain words. One
+    with blanks counts only under a strongly sensitive name, and without them."""
+    if b" " in value:
+        value = value.replace(b" ", b"") if strong else b""
+    if len(value) < 6 or not value.strip():
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
     return (len(value) >= 8) * 0.5 + (len(value) >= 16) * 0.5 + (kinds - 1) * 0.75 + (len(set(value)) >= min(10, len(value) * 0.6)) * 0.5
@@ -64,37 +77,62 @@ def lex(text: bytes) -> list[tuple[int, int]]:
     if not _QUICK.search(text):
         return []
     known: dict[bytes, int] = {}
-    nodes: list[tuple[float, list[tuple[int, int]], list[int]]] = []
+    nodes: list[tuple[float, list[list[tuple[int, int]]], list[int]]] = []
     at = 0
     while m := _PAIR.search(text, at):
-        name, at = m[1], m.end()
-        literals: list[tuple[int, int]] = []
+        names, at = [m[1]], m.end()
+        literals: list[list[tuple[int, int]]] = []
         uses: list[int] = []
+        inside = joins = False
         while True:
+            if not inside and (o := _OPEN.match(text, at)):
+                inside, at = True, o.end()
             if q := _QUOTED.match(text, at):
-                literals.append(q.span(1) if q[1] is not None else q.span(2))
+                span = next(q.span(i) for i in (1, 2, 3) if q[i] is not None)
                 at = q.end()
+            elif not joins and not m[2] and (c := _CHAIN.match(text, at)):
+                names.append(c[1])
+                at = c.end()
+                continue
             elif b := _BARE.match(text, at):
+                if m[2] and not _END.match(text, b.end()):
+                    break  # a nested key or a statement
+                span = None
                 if _IDENT.match(b[0]) and b[0] in known:
                     uses.append(known[b[0]])
                 elif _SIGN.match(text, b.end()):
-                    break  # a name of its own, as in `a = b = "..."` or nested keys; it is read next
+                    break  # a name of its own, as in nested keys; it is read next
                 else:
-                    literals.append(b.span())
+                    span = b.span()
                 at = b.end()
             else:
                 break
-            if not (j := _JOIN.match(text, at)):
+            if span and joins and literals:
+                literals[-1].append(span)
+            elif span:
+                literals.append([span])
+            if j := _JOIN.match(text, at):
+                joins, at = True, j.end()
+            elif inside and (j := _NEXT.match(text, at)):
+                joins, at = not j[1], j.end()
+            else:
                 break
-            at = j.end()
-        for key in {name, name.rpartition(b".")[2]}:
-            known[key] = len(nodes)
-        nodes.append((name_score(name), literals, uses))
+        for name in names:
+            for key in {name, name.rpartition(b".")[2]}:
+                known[key] = len(nodes)
+        nodes.append((max(map(name_score, names)), literals, uses))
     best = [score for score, _, _ in nodes]
     for k in range(len(nodes) - 1, -1, -1):
         for used in nodes[k][2]:
             best[used] = max(best[used], best[k])
-    return sorted(s for score, (_, literals, _) in zip(best, nodes, strict=True) if score >= 1.5 for s in literals if (shape := literal_score(text[s[0] : s[1]])) > 0 and score + shape >= SCORE)
+    found = []
+    for score, (_, literals, _) in zip(best, nodes, strict=True):
+        for parts in literals if score >= 1.5 else ():
+            shape = literal_score(b"".join(text[a:b] for a, b in parts), score >= 3)
+            if shape > 0 and score + shape >= SCORE:
+                # parts of one or two characters tell nothing, unless there are no others
+                found += [(a, b) for a, b in parts if b - a > 2] or [(a, b) for a, b in parts if a < b]
+    return sorted(found)
 
 
 def scan(text: bytes | None) -> list[tuple[int, int, int]]:

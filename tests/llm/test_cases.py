@@ -358,3 +358,29 @@ def test_pipeline_drops_similar_documents(spark):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     got = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, None).select("doc_id").collect()}
     assert got == near_copies_by_brute_force([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('config["db_pwd"] = "Xk9#fQ2!vLp7"', ["Xk9#fQ2!vLp7"]),
+        ("os.environ['DB_PWD'] = 'Xk9#fQ2!vLp7'", ["Xk9#fQ2!vLp7"]),
+        ('db_pwd: str = "Xk9#fQ2!vLp7"', ["Xk9#fQ2!vLp7"]),
+        ('db_pwd: Optional[str] = "Xk9#fQ2!vLp7"', ["Xk9#fQ2!vLp7"]),
+        ('db_pwd = shared = "Xk9#fQ2!vLp7"', ["Xk9#fQ2!vLp7"]),
+        ('shared=db_pwd="Xk9#fQ2!vLp7"', ["Xk9#fQ2!vLp7"]),
+        ('db_pwd = ("Xk9#fQ2!vLp7")', ["Xk9#fQ2!vLp7"]),
+        ('db_pwds = pwd = [\n "Xk9#fQ2!vLp7",\n "Zk9#fQ2!vLp8"]', ["Xk9#fQ2!vLp7", "Zk9#fQ2!vLp8"]),
+        ("db_pwd = `Xk9#fQ2!vLp7`", ["Xk9#fQ2!vLp7"]),
+        ("db_pwd:\n  Xk9fQ2_vLp7\nx: 1", ["Xk9fQ2_vLp7"]),
+        ('db_pwd: >\n  "Xk9#fQ2!vLp7"', ["Xk9#fQ2!vLp7"]),
+        ('db_pwd = "Xk9#" + "fQ2!" + "vLp7"', ["Xk9#", "fQ2!", "vLp7"]),
+        ('db_pwd = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('title = "correct horse battery staple"', []),
+        ("if pwd:\n    process_this_9(x)", []),
+        ("pwd:\n  name_of_it: 12", []),
+        ("pwd = YWJjZGVmZ2hpSjk= other", ["YWJjZGVmZ2hpSjk="]),
+    ],
+)
+def test_secrets_assignment_forms(text, want):
+    assert [text[a:b] for a, b in secrets.lex(text.encode())] == want
