@@ -304,8 +304,9 @@ def suffix_tree_by_brute_force(texts, orders):
     return lambda t: sum(lp(tuple(w[max(0, i - orders) : i]), w[i]) for w in [[None, *t.lower().split(), ""]] for i in range(1, len(w))) / math.log(10)
 
 
-@pytest.mark.parametrize("share", [0.0, 1.0])
-def test_suffix_tree_keeps_by_counts(spark, monkeypatch, share):
+@pytest.mark.parametrize("share, orders", [(0.0, 2), (1.0, 2), (1.0, 3)])
+def test_suffix_tree_keeps_by_counts(spark, monkeypatch, share, orders):
+    monkeypatch.setattr(suffix_tree, "ORDERS", orders)
     for k in ("HEAD_SHARE", "CONTEXT_SHARE", "NEXT_SHARE"):
         monkeypatch.setattr(suffix_tree, k, share)
     r = random.Random(9)
@@ -313,7 +314,7 @@ def test_suffix_tree_keeps_by_counts(spark, monkeypatch, share):
     model = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "t string").select(common.utf8("t").alias("text")))
     docs = [*texts[:20], "p q r s q t", "", "a p q r unseen q t", "unseen"]
     got = {x.doc_id: x for x in suffix_tree.score(spark.createDataFrame(enumerate(docs), "doc_id long, text string"), model).collect()}
-    want = suffix_tree_by_brute_force(texts, suffix_tree.ORDERS)
+    want = suffix_tree_by_brute_force(texts, orders)
     assert np.allclose([got[i].score for i in range(len(docs))], [want(t) for t in docs])
     assert [got[i].n_tokens - got[i].n_known for i in range(20, 24)] == [0, 0, 1, 1]
 
