@@ -1,8 +1,10 @@
 """What the operators of this subpackage share: running Python over Arrow batches beside the other columns,
 tables in the shared folder, splitting hot buckets, and connected components."""
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -30,20 +32,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode
+    (one machine, as in tests), and an error on a cluster, whose executors could not see it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="skiff-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to the shared folder, so that a lost executor costs nothing that was computed."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: a Parquet table in the shared folder, so that a lost executor costs nothing that was
+    computed. discard() removes it."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_PATHS: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored() tables that nothing will read again; others are left alone."""
+    for df in tables:
+        known, path = _PATHS.pop(id(df), (lambda: None, ""))
+        if known() is df:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -123,6 +148,116 @@ def hashed(values: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+# The bytes between words, and A-Z as a-z; a random factor for each byte and for each place in a piece of text.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_BYTE = np.random.default_rng(64).integers(0, 1 << 64, 256, np.uint64, endpoint=False)[_LOWER]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that become arrays at a time (more where a word is longer).
+PIECE = 1 << 18
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers.get("up", ())) < n:
+        n = max(n, 2 * PIECE)
+        with np.errstate(over="ignore"):
+            one, back = np.ones(n, np.uint64), np.ones(n, np.uint64)
+            one[1:], back[1:] = _BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))
+            _powers["up"], _powers["down"] = np.cumprod(one), np.cumprod(back)
+    return _powers["up"], _powers["down"]
+
+
+def _piece_keys(data: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' keys in a piece, and where they start; no word goes on over a place in starts_text."""
+    space = _SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts_text], edge[0], edge[-1] = True, True, True
+    before, after = edge[:-1].copy(), edge[1:].copy()
+    before[1:] |= space[:-1]
+    after[:-1] |= space[1:]
+    at, end = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space)
+    up, down = _power_tables(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(_BYTE[data] * up[: len(data)])
+        first = np.where(at > 0, sums[at - 1], np.uint64(0))
+        return hashed((sums[end] - first) * down[at]), at
+
+
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit keys of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, of an array of bytes, one text after the other, and each text's
+    number of words. A word's key is a mixed polynomial of its bytes, so no word becomes a Python object."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = (np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8))[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    keys, places, at = [], [], 0
+    while at < len(data):
+        # to the next text's start after PIECE bytes, or the next space in a long text
+        stop = min(len(data), at + PIECE)
+        if stop < len(data):
+            cut = ends[np.searchsorted(ends, stop, "right") - 1]
+            if cut > at:
+                stop = int(cut)
+            else:
+                limit = int(ends[np.searchsorted(ends, stop)])
+                while stop < limit and not (gap := _SPACE[data[stop : min(limit, stop + PIECE)]]).any():
+                    stop = min(limit, stop + PIECE)
+                if stop < limit:
+                    stop += int(gap.argmax())
+        a, b = np.searchsorted(ends, (at, stop))
+        k, p = _piece_keys(data[at:stop], ends[a:b] - at)
+        keys.append(k)
+        places.append(p + at)
+        at = stop
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(keys), np.diff(np.searchsorted(np.concatenate(places), ends))
+
+
+def bitmap(keys: DataFrame, most: int = 28) -> np.ndarray:
+    """A bit for the remainder of each of the column key's longs: 16 to 32 bits a key, 2 ** most bits (32 MB) at most. What
+    it leaves out is not there; it only keeps work down, and with more keys than bits it does so less."""
+    size = 1 << max(15, min(most, (16 * keys.count()).bit_length()))
+    at = F.pmod("key", F.lit(size)) + 1
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for r in keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
+        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bits) * 8 - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 1 << 18) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Whole runs of equal keys in ordered batches of numbers, many at a time: columns, and where runs start and end."""
+    held: list[dict[str, np.ndarray]] = []
+    size, goal = 0, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)})
+        size += batch.num_rows
+        if size < goal:
+            continue
+        whole = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        cut = _starts(whole, keys)
+        if last := int(cut[-1]):
+            yield {k: v[:last] for k, v in whole.items()}, cut
+        held, size = [{k: v[last:] for k, v in whole.items()}], size - last
+        goal = max(most, 2 * size)
+    if size:
+        whole = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        yield whole, np.append(_starts(whole, keys), size)
+
+
+def _starts(cols: dict[str, np.ndarray], keys: Sequence[str]) -> np.ndarray:
+    return np.append(0, np.flatnonzero(np.logical_or.reduce([cols[k][1:] != cols[k][:-1] for k in keys])) + 1)
+
+
 def in_blocks(rows: DataFrame, key: str, member: str, block: int, useful: Column) -> DataFrame:
     """Deals out buckets for work on the pairs within each. A bucket is the rows of one key. A bucket of up to block rows
     is one task group; a larger one has its rows hashed into m = ceil(rows / block) blocks and becomes m * (m + 1) / 2
@@ -191,7 +326,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        e = stored(small.where("u <> v").distinct())
+        e, last = stored(small.where("u <> v").distinct()), e
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == mark or not now[0]:
             break

@@ -1,6 +1,6 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Symbols are lower-cased words [^\\x20\\x09-\\x0D]+ and one end of text (the empty string). The root's distribution is
+Symbols are lower-cased words [^\\x20\\x09-\\x0D]+ and one end of text. The root's distribution is
 (c + 0.5) / (N + 0.5 * (V + 1)) from counts c of all training tokens. Contexts of up to ORDERS preceding words (the start of a
 text is a word too) are states if they pass both tests: they occur LEAST times, and what follows them diverges from their
 suffix's distribution: sum of count * ln(P(next | context) / P(next | suffix)) is at least GAIN for each next symbol kept,
@@ -8,68 +8,40 @@ where a next symbol is kept if it follows LEAST times and its probability differ
 absolutely discounted counts; the rest of a state's mass goes to its suffix's distribution, so every state is smoothed down
 to the root. A token is scored in the state of the longest suffix of its history.
 
-Sizes: the tests are on counts, so words, states and kept symbols grow with the corpus. They are a table (key, value, word)
-of what each adds to a token's logarithm: a word its root's, a state its backoff weight, a kept symbol the rest. It is joined
-to the keys that a text has, so one join serves both scores. Only copies of bounded size are broadcast: the frequent words,
-states and symbols (*_SHARE of the tokens), looked up without the join, and bitmaps of up to 2 ** BITS bits that keep keys
-out of counting and joining which cannot be there; neither changes a result. Keys are 64-bit hashes of words and of the keys
-of a gram's two ends (Spark's xxhash64), so two grams of n share one with a probability of about n * n / 2 ** 65.
+Counting: words and grams are 64-bit keys (common.word_keys, and xxhash64 of the keys of a gram's two ends), so two of n
+share one with a probability of about n * n / 2 ** 65. Tasks count their own first and deal sorted blocks of keys by key
+range. A first round counts 40 bits of each key alone; only grams that this leaves, by a bitmap, are counted with their ends.
+
+Sizes: the tests are on counts, so words, states and kept symbols grow with the corpus. They are a table (key, n, value, word)
+of what each adds to a token's logarithm: a word its root's, a state its backoff weight, a kept symbol the rest. The NEAR most
+frequent of them are broadcast; a text asks the table for the others by an equi-join, which one bitmap of them (32 MB at
+most) keeps small. Neither changes a result.
 
 Cases: a null text is empty: one token, the end. With no training text, N and V are 0. A text of unknown words has known
-probabilities from the root's share for unseen ones. Repeated documents are each answered (and each trained on).
+probabilities from the root's share for unseen ones. Repeated documents are each answered (and each trained on). A very long
+text is read in pieces; its keys are held at once. Ties do not occur: all tests are on each gram's own counts. Columns of docs
+that are not asked for are ignored, so their names do not clash.
 """
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+from pyspark.sql import types as T
 
-from skiff.llm.common import crc_mod, map_batches, row_function, stored, table, utf8
+from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, may_hold, stored, table, utf8, word_keys
 
-#: What is broadcast: words, states and symbols from these shares of all tokens on.
-HEAD_SHARE, CONTEXT_SHARE, NEXT_SHARE = 4e-6, 1e-5, 2e-6
+#: Entries that are broadcast at most, at 24 bytes each.
+NEAR = 3_000_000
 ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 2, 3.0, 1.2, 0.5, 3
-BITS = 28
-END = b""
-#: Keys of the start of a text, and of the symbol that stands for a state's own weight; no word holds a blank.
-START, STATE = (xxhash.xxh64_intdigest(b, 42) for b in (b" start", b" state"))
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return [*text.lower().split(), END] if text else [END]
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, n) over the column text (bytes) of texts, counted in each task first."""
-
-    def start():
-        counts = Counter()
-
-        def work(batch):
-            if batch is not None:
-                for text in batch.column(0).to_pylist():
-                    counts.update(words_of(text))
-            if counts and (batch is None or len(counts) > 400_000):
-                yield {"token": [k.decode("utf-8", "replace") for k in counts], "n": list(counts.values())}
-                counts.clear()
-
-        return work
-
-    return map_batches(texts.select("text"), "token string, n bigint", start).groupBy("token").agg(F.sum("n").alias("n"))
-
-
-class Keys(dict):
-    """The words' keys, as F.xxhash64 gives them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = key = xxhash.xxh64_intdigest(word, 42)
-        return key
-
+#: Keys that a task counts before it hands them on, and bytes of text for one range of keys.
+HELD, RANGE_BYTES = 4_000_000, 4 << 20
+#: Keys of a text's start and end, and of the symbol that stands for a state's own weight.
+START, END, STATE = (np.uint64(k) for k in (0x7374617274000001, 0x656E640000000001, 0x7374617465000001))
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -92,183 +64,313 @@ def gram_keys(context: np.ndarray, following) -> np.ndarray:
         return _hash_long(following, _hash_long(context, np.uint64(42)))
 
 
-def _laid_out(texts: list[list[bytes]], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Of the texts one after the other, each led by a start: the words' keys and their places in their text."""
-    get = keys.__getitem__
-    w = np.array([k for t in texts for k in (START, *map(get, t))], np.uint64)
-    n = np.array([len(t) + 1 for t in texts], np.int64)
-    return w, np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts one after the other, each between a start and an end: the words' keys, their places in their text, and
+    where each text begins (one more at the end)."""
+    keys, n = word_keys(texts)
+    begin = np.append(0, np.cumsum(n + 2))
+    out, word = np.empty(begin[-1], np.uint64), np.ones(begin[-1], bool)
+    word[begin[:-1]] = word[begin[1:] - 1] = False
+    out[begin[:-1]], out[begin[1:] - 1] = START, END
+    out[word] = keys
+    return out, np.arange(begin[-1]) - np.repeat(begin[:-1], n + 2), begin
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Array]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.column(0).slice(at, rows)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted numbers, byte by byte from the highest: the first bytes of all, then the second ones. They compress well."""
+    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(planes: bytes, n: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(f">{kind}").ravel().astype(kind)
+
+
+def _blocks(order_by: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Columns, sorted by order_by, as one row for each range of its first bits."""
+    part = (order_by >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    packed = [pa.array([_planes(c[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.diff(cut)), *packed], names=["part", "size", *(f"c{i}" for i in range(len(columns)))])
+
 
+def _dealt(texts: DataFrame, start, kinds: list[str], merge, schema: str) -> DataFrame:
+    """start() in each task turns texts into batches of _blocks; the blocks of a range meet, and merge makes of their columns
+    the rows of schema."""
+    names = [f"c{i}" for i in range(len(kinds))]
+    bound_batches(texts.sparkSession)
+    made = texts.select("text").mapInArrow(lambda batches: start()(_slices(batches)), "part bigint, size bigint, " + ", ".join(f"{n} binary" for n in names))
+    out = [f.name for f in T._parse_datatype_string(schema)]
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for each remainder of the column key."""
-    size = 1 << max(15, min(BITS, (16 * keys.count()).bit_length()))
-    at = F.pmod("key", F.lit(size)) + 1
-    out = np.zeros((size >> 15, 4096), np.uint8)
-    for r in keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
-        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    def run(batches):
+        now, held = None, []
 
+        def done():
+            cols = merge(*(np.concatenate([h[i] for h in held]) for i in range(len(kinds))))
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=out)
 
-def _may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        for b in batches:
+            for k, part in enumerate(b.column(0).to_pylist()):
+                if held and part != now:
+                    yield done()
+                    held = []
+                now, n = part, b.column(1)[k].as_py()
+                held.append([_numbers(b.column(2 + i)[k].as_py(), n, kind) for i, kind in enumerate(kinds)])
+        if held:
+            yield done()
 
+    return made.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
-def _gram_counts(texts: DataFrame, shared, order: int) -> DataFrame:
-    """(ctx, next, n): keys of the first and of the last order words of each run of order + 1 words, and its count.
-    shared: a bitmap of those that may occur LEAST times; others are left out."""
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of one of each, and their sums."""
+    by = np.argsort(keys, kind="stable")
+    keys, n = keys[by], n[by]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], by[at], np.add.reduceat(n, at)
+
+
+def _counts(texts: DataFrame, order: int, shared, bits: int) -> DataFrame:
+    """(key, n): for order 0 all words and ends; else the grams of order + 1 words by 40 bits of their keys, where they occur
+    LEAST times. shared: a bitmap of the shorter grams that do."""
 
     def start():
-        words, held, size = Keys(), [], 0
-
-        def flush():
-            ctx, following = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            _, at, n = np.unique(gram_keys(ctx, following), return_index=True, return_counts=True)
-            return {"ctx": ctx[at].view(np.int64), "next": following[at].view(np.int64), "n": n}
-
-        def work(batch):
-            nonlocal size
-            if batch is not None:
-                texts = batch.column(0).to_pylist()
-                for at in range(0, len(texts), 256):
-                    g, place = _laid_out([words_of(t) for t in texts[at : at + 256]], words)
-                    for _ in range(order - 1):
-                        g = gram_keys(g[:-1], g[1:])
-                    there = _may_hold(shared.value, g)
-                    ok = there[:-1] & there[1:] & (place[order:] >= order)
-                    held.append((g[:-1][ok], g[1:][ok]))
-                    size += len(held[-1][0])
-                    if size > 4_000_000:
-                        yield flush()
-                        held.clear()
-                        size = 0
-            elif size:
+        def work(slices):
+            held, size = [], 0
+
+            def flush():
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                return _blocks(keys, [keys if order == 0 else keys >> np.uint64(24), n.astype(np.uint32)], bits)
+
+            for texts in slices:
+                g, place, _ = laid_out(texts)
+                if order == 0:
+                    g = g[place > 0]
+                else:
+                    g = _grams(g, place, order, shared.value)[0]
+                    g = g >> np.uint64(24) << np.uint64(24)
+                held.append(g)
+                size += len(g)
+                if size > HELD:
+                    yield flush()
+                    size = 0
+            if size:
                 yield flush()
 
         return work
 
-    return map_batches(texts.select("text"), "ctx bigint, next bigint, n bigint", start).groupBy("ctx", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    def merge(keys, n):
+        keys, _, n = _summed(keys, n.astype(np.int64))
+        keep = n >= (LEAST if order else 1)
+        return keys[keep], n[keep]
 
+    return _dealt(texts, start, ["u8", "u4"], merge, "key bigint, n bigint")
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys in the ordered table, and whether they are there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
 
+def _grams(g: np.ndarray, place: np.ndarray, order: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, context, next) of the grams of order + 1 words of which the bitmap may hold the first and the last order ones."""
+    for _ in range(order - 1):
+        g = gram_keys(g[:-1], g[1:])
+    there = may_hold(known, g)
+    at = np.flatnonzero(there[:-1] & there[1:] & (place[order:] >= order))
+    return gram_keys(g[at], g[at + 1]), g[at], g[at + 1]
 
-class Tree:
-    """What is broadcast: the head (frequent words and their numbers), for each order the frequent entries' keys and
-    values, and the bitmap of all its entries."""
-
-    def __init__(self, head: list[tuple[str, int]], total: int, kinds: int):
-        self.total, self.unit = total, total + 0.5 * (kinds + 1)
-        self.number = {t.encode(): i for i, (t, _) in enumerate(head)}
-        self.root = np.log10((np.array([n for _, n in head], np.float64) + 0.5) / self.unit)
-        self.keys: list[np.ndarray] = []
-        self.values: list[np.ndarray] = []
-        self.bitmaps: list[np.ndarray] = []
-
-    def add(self, keys: np.ndarray, values: np.ndarray, bitmap: np.ndarray) -> None:
+
+def _gram_counts(texts: DataFrame, order: int, shared, heavy, bits: int) -> DataFrame:
+    """(ctx, next, n): the grams that occur LEAST times. heavy: a bitmap of the 40 bits of keys that do."""
+
+    def start():
+        def work(slices):
+            held, size = [], 0
+
+            def flush():
+                keys, ctx, following = (np.concatenate([h[i] for h in held]) for i in range(3))
+                _, at, n = _summed(keys, np.ones(len(keys), np.uint32))
+                by = np.lexsort((following[at], ctx[at]))
+                held.clear()
+                return _blocks(ctx[at[by]], [ctx[at[by]], following[at[by]], n[by].astype(np.uint32)], bits)
+
+            for texts in slices:
+                g, place, _ = laid_out(texts)
+                found = _grams(g, place, order, shared.value)
+                ok = may_hold(heavy.value, found[0] >> np.uint64(24))
+                held.append([f[ok] for f in found])
+                size += len(held[-1][0])
+                if size > HELD // 2:
+                    yield flush()
+                    size = 0
+            if size:
+                yield flush()
+
+        return work
+
+    def merge(ctx, following, n):
+        _, at, n = _summed(gram_keys(ctx, following), n.astype(np.int64))
+        keep = n >= LEAST
+        return ctx[at[keep]], following[at[keep]], n[keep]
+
+    return _dealt(texts, start, ["u8", "u8", "u4"], merge, "ctx bigint, next bigint, n bigint")
+
+
+class Entries:
+    """Values by key, in order of keys with an index of their first bits: found in about one step."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, word: np.ndarray):
         by = np.argsort(keys)
-        self.keys.append(keys[by])
-        self.values.append(values[by])
-        self.bitmaps.append(bitmap)
-
-    def score(self, texts: list[list[bytes]], words: Keys | None = None) -> list[tuple]:
-        """For each text: tokens, tokens in the head, sums of log10 P in the root and in the longest state as far as known
-        here, and the keys to look up for the rest: those of tail words and of entries that are not broadcast."""
-        w, place = _laid_out(texts, Keys() if words is None else words)
-        get = self.number.get
-        number = np.array([i for t in texts for i in (-1, *[get(x, -1) for x in t])], np.int64)
-        known = number >= 0
-        base = np.zeros(len(w))
-        base[known] = self.root[number[known]]
-        value = base.copy()
-        tail = ~known & (place > 0)
-        where, more = [np.flatnonzero(tail)], [w[tail]]
+        self.keys, self.values, self.word = keys[by], values[by], word[by]
+        self.bits = max(1, len(keys).bit_length())
+        self.first = np.append(0, np.cumsum(np.bincount((self.keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits))).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places among keys that are found, and their places here."""
+        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        asked = np.flatnonzero(at < end)
+        at, end = at[asked], end[asked]
+        found = []
+        while len(asked):
+            here = self.keys[at] == keys[asked]
+            found.append((asked[here], at[here]))
+            at = at + 1
+            more = ~here & (at < end)
+            asked, at, end = asked[more], at[more], end[more]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+class Tree:
+    """What is broadcast: the most frequent entries, a bitmap of the others, and the number of orders that have any."""
+
+    def __init__(self, total: int, kinds: int):
+        self.total, self.unit, self.orders = total, total + 0.5 * (kinds + 1), 0
+        self.near = Entries(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
+        self.far = np.zeros(1 << 12, np.uint8)
+
+    def score(self, texts: pa.Array) -> list[pa.Array]:
+        """For each text: tokens, known ones, sums of log10 P in the root and in the longest state as far as known here, and the
+        keys to look up for the rest."""
+        w, place, begin = laid_out(texts)
+        value, base, known = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w), bool)
+        where, more = [], []
+
+        def add(keys: np.ndarray, at: np.ndarray, words: bool) -> None:
+            asked, found = self.near.find(keys)
+            value[at[asked]] += self.near.values[found]
+            if words:
+                base[at[asked]], known[at[asked]] = self.near.values[found], True
+            rest = may_hold(self.far, keys)
+            rest[asked] = False
+            where.append(at[rest])
+            more.append(keys[rest])
+
+        at = np.flatnonzero(place > 0)
+        add(w[at], at, True)
         g = w
-        for order, (keys, values, bitmap) in enumerate(zip(self.keys, self.values, self.bitmaps, strict=True), 1):
-            full = place[order:] >= order
-            state, g = gram_keys(g[:-1], np.uint64(STATE)), gram_keys(g[:-1], g[1:])
+        for order in range(1, self.orders + 1):
+            at = np.flatnonzero(place[order:] >= order)
+            state, g = gram_keys(g[:-1], STATE), gram_keys(g[:-1], g[1:])
             for k in (state, g):
-                at = np.flatnonzero(full & _may_hold(bitmap, k))
-                found, there = _find(keys, k[at])
-                value[at[there] + order] += values[found[there]]
-                where.append(at[~there] + order)
-                more.append(k[at[~there]])
+                add(k[at], at + order, False)
         where, more = np.concatenate(where), np.concatenate(more).view(np.int64)
         by = np.argsort(where, kind="stable")
-        where, more = where[by], more[by]
-        out, begin = [], 0
-        for t in texts:
-            end = begin + len(t) + 1
-            a, b = np.searchsorted(where, (begin, end))
-            out.append((len(t), int(known[begin:end].sum()), float(base[begin:end].sum()), float(value[begin:end].sum()), more[a:b]))
-            begin = end
-        return out
-
-
-def _grown(grams: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The next order: its grams as (key, n, lp: ln P(last word | the others), value: null unless kept), and its states as
-    (key, n, value). known: (key, n, lp) of the order before."""
-    grams = stored(grams.join(known.select(F.col("key").alias("ctx"), F.col("n").alias("times")), "ctx").join(known.select(F.col("key").alias("next"), F.col("lp").alias("lq")), "next").withColumn("p", F.log((F.col("n") - DISCOUNT) / F.col("times"))))
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(where[by], begin).astype(np.int32)), pa.array(more[by]))
+        sums = [np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.zeros(0, x.dtype) for x in (known.astype(np.int64), base, value)]
+        return [pa.array(np.diff(begin) - 1), *(pa.array(s) for s in sums), lists]
+
+
+def _grown(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """Of an order's grams (ctx, next, n), given the one before (key, n, lp): (ctx, key, n, times, lp: ln P(last word | the others),
+    value: null unless kept, back: its state's backoff weight or null)."""
+    grams = counted.join(known.select(F.col("key").alias("next"), F.col("lp").alias("lq")), "next")
+    grams = grams.join(known.select(F.col("key").alias("ctx"), F.col("n").alias("times")), "ctx").withColumn("p", F.log((F.col("n") - DISCOUNT) / F.col("times")))
     keep = F.abs(F.col("p") - F.col("lq")) >= math.log(RATIO)
-    sums = grams.where(keep).groupBy("ctx", "times").agg(F.count(F.lit(1)).alias("many"), F.sum(F.col("n") * (F.col("p") - F.col("lq"))).alias("gain"), F.sum(F.exp("p")).alias("p"), F.sum(F.exp("lq")).alias("q"))
-    left = lambda c: F.greatest(1 - F.col(c), F.lit(1e-9))
-    states = stored(sums.where(F.col("gain") >= GAIN * F.col("many")).select("ctx", "times", F.log(left("p") / left("q")).alias("back")))
+    over = Window.partitionBy("ctx")
+    many, gain = F.count_if(keep).over(over), F.sum(F.when(keep, F.col("n") * (F.col("p") - F.col("lq")))).over(over)
+    left = lambda c: F.greatest(1 - F.sum(F.when(keep, F.exp(c))).over(over), F.lit(1e-9))
+    back = F.when((many > 0) & (gain >= GAIN * many), F.log(left("p") / left("lq")))
+    out = grams.select("ctx", F.xxhash64("ctx", "next").alias("key"), "n", "times", "p", "lq", keep.alias("keep"), back.alias("back"))
     suffix = F.coalesce("back", F.lit(0.0)) + F.col("lq")
-    kept = keep & F.col("back").isNotNull()
-    out = grams.join(states.select("ctx", "back"), "ctx", "left").select(F.xxhash64("ctx", "next").alias("key"), "n", F.when(kept, F.col("p")).otherwise(suffix).alias("lp"), F.when(kept, F.col("p") - suffix).alias("value"))
-    return stored(out), states.select(F.xxhash64("ctx", F.lit(_signed(STATE))).alias("key"), F.col("times").alias("n"), F.col("back").alias("value"))
+    kept = F.col("keep") & F.col("back").isNotNull()
+    return out.select("ctx", "key", "n", "times", F.when(kept, F.col("p")).otherwise(suffix).alias("lp"), F.when(kept, F.col("p") - suffix).alias("value"), "back")
 
 
-def _signed(key: int) -> int:
-    return key - (1 << 64) if key >> 63 else key
+def _signed(key) -> int:
+    return int(np.uint64(key).view(np.int64))
 
 
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of the texts (column text: bytes or null), and the table (key, value, word) of all words and entries."""
+    """The tree of the texts (column text: bytes or null), and the table (key, value, word) of the entries that are not in it."""
     spark = texts.sparkSession
-    counts = stored(token_counts(texts))
-    total, kinds, ends = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("token") == "", F.col("n")))).first()
-    total = total or 0
-    head = counts.where(F.col("n") >= max(2, HEAD_SHARE * total)).orderBy(F.desc("n"), "token").collect() if total else []
-    tree = Tree([(r.token, r.n) for r in head], total, kinds)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, (size // RANGE_BYTES).bit_length())
+    words = stored(_counts(texts, 0, None, bits))
+    total, kinds, ends = words.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("key") == _signed(END), F.col("n")))).first()
+    tree = Tree(total or 0, kinds)
     root = F.log((F.col("n") + 0.5) / F.lit(tree.unit))
-    words = counts.select(F.xxhash64("token").alias("key"), "n", root.alias("lp"))
-    whole = words.select("key", (F.col("lp") / math.log(10)).alias("value"), F.lit(True).alias("word"))
-    known = words.unionByName(spark.createDataFrame([(_signed(START), ends or 0, 0.0)], words.schema)).where(F.col("n") >= LEAST)
+    ten = 1 / math.log(10)
+    parts = [words.select("key", "n", (root * ten).alias("value"), F.lit(True).alias("word"))]
+    known = words.select("key", "n", root.alias("lp"))
+    known = known.unionByName(spark.createDataFrame([(_signed(START), ends or 0, 0.0)], known.schema)).where(F.col("n") >= LEAST)
     for order in range(1, ORDERS + 1):
-        shared = spark.sparkContext.broadcast(_bitmap(known.select("key")))
-        known, states = _grown(_gram_counts(texts, shared, order), known)
+        shared = spark.sparkContext.broadcast(bitmap(known.select("key")))
+        often = stored(_counts(texts, order, shared, bits))
+        heavy = spark.sparkContext.broadcast(bitmap(often.select("key")))
+        discard(often)
+        grams = stored(_grown(_gram_counts(texts, order, shared, heavy, bits), known))
         shared.unpersist()
-        entries = states.withColumn("least", F.lit(CONTEXT_SHARE * total)).unionByName(known.where("value is not null").select("key", "n", "value", F.lit(NEXT_SHARE * total).alias("least"))).withColumn("value", F.col("value") / math.log(10))
-        bitmap = _bitmap(entries.select("key"))
-        if not bitmap.any():
+        heavy.unpersist()
+        kept = grams.where("value is not null")
+        if kept.isEmpty():
+            break
+        tree.orders = order
+        states = kept.groupBy("ctx").agg(F.max("times").alias("n"), (F.max("back") * ten).alias("value"))
+        parts.append(states.select(F.xxhash64("ctx", F.lit(_signed(STATE))).alias("key"), "n", "value", F.lit(False).alias("word")))
+        parts.append(kept.select("key", "n", (F.col("value") * ten).alias("value"), F.lit(False).alias("word")))
+        known = grams.select("key", "n", "lp")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    whole = stored(whole)
+    # the lowest power of two from which on at most NEAR entries occur as often
+    room, least = NEAR, 1 << 62
+    for power, n in sorted(((r[0], r[1]) for r in whole.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
+        room -= n
+        if room < 0:
             break
-        near = entries.where("n >= least").select("key", "value").toArrow()
-        tree.add(near["key"].to_numpy().view(np.uint64), near["value"].to_numpy(), bitmap)
-        whole = whole.unionByName(entries.select("key", "value", F.lit(False).alias("word")))
-    return tree, whole
+        least = 1 << power
+    near = whole.where(F.col("n") >= least).select("key", "value", "word").toArrow()
+    tree.near = Entries(near["key"].to_numpy().view(np.uint64), near["value"].to_numpy(), near["word"].to_numpy())
+    far = whole.where(F.col("n") < least).select("key", "value", "word")
+    tree.far = bitmap(far)
+    return tree, far
 
 
 def score(docs: DataFrame, model: tuple[Tree, DataFrame], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(id_col, the extra columns, n_tokens, n_known, base_score, score): one row for each row of docs."""
-    tree, whole = model
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def start():
-        words = Keys()
-        return lambda rows: shared.value.score([words_of(t) for t in rows], words)
-
-    kind = "n bigint, head bigint, base double, score double, more array<bigint>"
-    marked = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), *(c.alias(k) for k, c in (extra or {}).items()), row_function(kind, start)(utf8(text_col)).alias("_s")))
+    tree, far = model
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
+    names = ["n", "known", "base", "score", "more"]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            parts = [pa.StructArray.from_arrays(shared.value.score(b.slice(at, 512)), names) for at in range(0, len(b), 512)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    kind = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("more", pa.list_(pa.int64()))])
+    bound_batches(spark)
+    marked = F.arrow_udf(run, "n bigint, known bigint, base double, score double, more array<bigint>").asNondeterministic()(utf8(text_col))
+    marked = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), *(c.alias(k) for k, c in (extra or {}).items()), marked.alias("_s")))
     more = marked.select("_row", F.explode("_s.more").alias("key"))
-    found = more.join(whole, "key").groupBy("_row").agg(F.count_if("word").alias("_known"), F.sum(F.when(F.col("word"), F.col("value"))).alias("_base"), F.sum("value").alias("_all"))
-    known = F.col("_s.head") + F.coalesce("_known", F.lit(0))
+    found = more.join(far, "key").groupBy("_row").agg(F.count_if("word").alias("_known"), F.sum(F.when(F.col("word"), F.col("value"))).alias("_base"), F.sum("value").alias("_all"))
+    known = F.col("_s.known") + F.coalesce("_known", F.lit(0))
     unseen = (F.col("_s.n") - known) * F.lit(math.log10(0.5 / tree.unit))
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0.0)) + unseen)
     return marked.join(found, "_row", "left").select(id_col, *(extra or {}), F.col("_s.n").alias("n_tokens"), known.alias("n_known"), plus("_s.base", "_base").alias("base_score"), plus("_s.score", "_all").alias("score"))

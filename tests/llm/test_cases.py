@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,29 +258,14 @@ def test_suffix_tree(spark, docs, empty):
     assert len(none) == 10 and all(r.n_known == 0 and abs(r.base_score) < 1e-9 for r in none)
 
 
-def test_suffix_tree_sums_to_one(spark):
-    r = random.Random(8)
-    texts = [" ".join(r.choices("abcdefg", [5, 4, 3, 2, 2, 1, 1], k=40)) + " x y x y x y" for _ in range(60)]
-    tree, _ = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "t string").select(common.utf8("t").alias("text")))
-    assert len(tree.keys[0]) and len(tree.keys[1])
-    words = [*tree.number, b"unseen"]
-    for history in ([], [b"x"], [b"x", b"y"], [b"a", b"b"], [b"unseen", b"x"]):
-        total = 0.0
-        for w in words:
-            a, b = tree.score([[*history, w]])[0], tree.score([history])[0] if history else (0, 0, 0.0, 0.0)
-            lp = a[3] - b[3] if w != b"unseen" else a[3] - b[3] + np.log10(0.5 / (tree.total + 0.5 * (len(tree.number) + 1)))
-            total += 10**lp
-        assert abs(total - 1) < 1e-6
-
-
 def suffix_tree_by_brute_force(texts, orders):
-    """ln P(word | history) of a tree kept by counts alone."""
+    """ln P(word | history) of a tree kept by counts alone, and its words."""
     import math
     from collections import Counter
 
     s, grams = suffix_tree, Counter()
     for t in texts:
-        w = [None, *t.lower().split(), ""]
+        w = [None, *(t or "").encode().lower().split(), b""]
         grams.update(tuple(w[i : i + k + 1]) for k in range(orders + 1) for i in range(len(w) - k))
     root = {g[0]: n for g, n in grams.items() if len(g) == 1 and g[0] is not None}
     unit, states = sum(root.values()) + 0.5 * (len(root) + 1), {}
@@ -301,24 +287,57 @@ def suffix_tree_by_brute_force(texts, orders):
             if sum(n * (p - q) for _, n, p, q in kept) >= s.GAIN * len(kept):
                 left, suffix = (max(1 - sum(math.exp(x[i]) for x in kept), 1e-9) for i in (2, 3))
                 states[c] = math.log(left / suffix), {x: p for x, _, p, _ in kept}
-    return lambda t: sum(lp(tuple(w[max(0, i - orders) : i]), w[i]) for w in [[None, *t.lower().split(), ""]] for i in range(1, len(w))) / math.log(10)
+    return lambda history, word: lp(tuple([None, *history][-orders:]), word) / math.log(10), root
+
+
+def scored_by_brute_force(lp, text):
+    w = [*(text or "").encode().lower().split(), b""]
+    return sum(lp(w[:i], w[i]) for i in range(len(w)))
 
 
-@pytest.mark.parametrize("share, orders", [(0.0, 2), (1.0, 2), (1.0, 3)])
-def test_suffix_tree_keeps_by_counts(spark, monkeypatch, share, orders):
+def test_suffix_tree_sums_to_one(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices("abcdefg", [5, 4, 3, 2, 2, 1, 1], k=40)) + " x y x y x y" for _ in range(60)]
+    model = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "t string").select(common.utf8("t").alias("text")))
+    assert model[0].orders == 2
+    lp, words = suffix_tree_by_brute_force(texts, 2)
+    words = [*words, b"unseen"]
+    histories = [[], [b"x"], [b"x", b"y"], [b"a", b"b"], [b"unseen", b"x"]]
+    asked = [*histories, *([*h, w] for h in histories for w in words if w)]
+    got = suffix_tree.score(spark.createDataFrame([(i, b" ".join(t).decode()) for i, t in enumerate(asked)], "doc_id long, text string"), model).collect()
+    # a text's score without its end's
+    before = {tuple(asked[x.doc_id]): x.score - lp(asked[x.doc_id], b"") for x in got}
+    for h in histories:
+        assert abs(sum(10 ** (before[*h, w] - before[tuple(h)]) if w else 10 ** lp(h, b"") for w in words) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("near, orders", [(0, 2), (10**6, 2), (60, 3)])
+def test_suffix_tree_keeps_by_counts(spark, monkeypatch, near, orders):
     monkeypatch.setattr(suffix_tree, "ORDERS", orders)
-    for k in ("HEAD_SHARE", "CONTEXT_SHARE", "NEXT_SHARE"):
-        monkeypatch.setattr(suffix_tree, k, share)
+    monkeypatch.setattr(suffix_tree, "NEAR", near)
     r = random.Random(9)
     texts = [" ".join(r.choices("abcdefghijklm", range(13, 0, -1), k=30)) + r.choice([" P q r", " s q t", " p q"]) for _ in range(80)] + ["p q r"] * 3
     model = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "t string").select(common.utf8("t").alias("text")))
     docs = [*texts[:20], "p q r s q t", "", "a p q r unseen q t", "unseen"]
     got = {x.doc_id: x for x in suffix_tree.score(spark.createDataFrame(enumerate(docs), "doc_id long, text string"), model).collect()}
-    want = suffix_tree_by_brute_force(texts, orders)
-    assert np.allclose([got[i].score for i in range(len(docs))], [want(t) for t in docs])
+    lp, _ = suffix_tree_by_brute_force(texts, orders)
+    assert np.allclose([got[i].score for i in range(len(docs))], [scored_by_brute_force(lp, t) for t in docs])
     assert [got[i].n_tokens - got[i].n_known for i in range(20, 24)] == [0, 0, 1, 1]
 
 
+def test_word_keys():
+    r = random.Random(1)
+    texts = [None, b"", b" ", b"One two", b"x" * 700000 + b" y", b"a b " * 200000 + b"z" * 900000]
+    texts += ["".join(r.choice(["a", "B", "b", "\t", " ", "\n", "é", "the", "\x1c"]) for _ in range(r.randrange(4000))).encode() for _ in range(100)]
+    keys, n = common.word_keys(pa.array(texts, pa.binary()))
+    words = [(t or b"").lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    known = {}
+    for w, k in zip([w for t in words for w in t], keys.tolist(), strict=True):
+        assert known.setdefault(w, k) == k
+    assert len(set(known.values())) == len(known)
+
+
 def near_copies_by_brute_force(rows):
     """The ids that stay: five-word shingles, Jaccard similarity 0.8 or more."""
     sets = []

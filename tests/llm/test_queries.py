@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from skiff.llm import bpe, common, decontaminate, queries, secrets, simhash, toxicity
+from skiff.llm import bpe, common, decontaminate, queries, secrets, simhash, suffix_tree, toxicity
+from tests.llm.test_cases import scored_by_brute_force, suffix_tree_by_brute_force
 from tests.oracle import compare
 
 SF, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -59,6 +60,19 @@ def test_bpe(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in Q["op9_bpe"](spark, TINY).collect()} == want
 
 
+def test_lm_by_brute_force(spark):
+    docs = source(TINY)
+    train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    lp, root = suffix_tree_by_brute_force(train, suffix_tree.ORDERS)
+    n, v = sum(root.values()), len(root)
+    for r in Q["op10_lm_score"](spark, TINY).collect():
+        words = [*(dict(docs)[r.doc_id] or "").encode().lower().split(), b""]
+        base = sum(np.log10((root.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in root for w in words), n)
+        assert np.isclose(r.base_score, base, atol=1e-9) and np.isclose(r.score, scored_by_brute_force(lp, dict(docs)[r.doc_id]))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+
+
 def test_lm_held_out(spark):
     rows = [r for r in Q["op10_lm_score"](spark, SF).collect() if r.held_out]
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in rows)
