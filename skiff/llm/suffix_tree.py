@@ -25,6 +25,7 @@ that are not asked for are ignored, so their names do not clash.
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, may_hold,
 
 #: Entries that are broadcast at most, at 24 bytes each.
 NEAR = 3_000_000
-ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 2, 3.0, 1.2, 0.5, 3
+ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 4, 3.0, 1.2, 0.5, 3
 #: Keys that a task counts before it hands them on, and bytes of text for one range of keys.
 HELD, RANGE_BYTES = 4_000_000, 4 << 20
 #: Keys of a text's start and end, and of the symbol that stands for a state's own weight.
@@ -318,26 +319,27 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     parts = [words.select("key", "n", (root * ten).alias("value"), F.lit(True).alias("word"))]
     known = words.select("key", "n", root.alias("lp"))
     known = known.unionByName(spark.createDataFrame([(_signed(START), ends or 0, 0.0)], known.schema)).where(F.col("n") >= LEAST)
+    grams = words  # of the last order counted
     for order in range(1, ORDERS + 1):
         shared = spark.sparkContext.broadcast(bitmap(known.select("key")))
         often = stored(_counts(texts, order, shared, bits))
         heavy = spark.sparkContext.broadcast(bitmap(often.select("key")))
         discard(often)
-        grams = stored(_grown(_gram_counts(texts, order, shared, heavy, bits), known))
+        shorter, grams = grams, stored(_grown(_gram_counts(texts, order, shared, heavy, bits), known))
+        if shorter is not words:
+            discard(shorter)
         shared.unpersist()
         heavy.unpersist()
         kept = grams.where("value is not null")
         if kept.isEmpty():
             break
         tree.orders = order
-        states = kept.groupBy("ctx").agg(F.max("times").alias("n"), (F.max("back") * ten).alias("value"))
-        parts.append(states.select(F.xxhash64("ctx", F.lit(_signed(STATE))).alias("key"), "n", "value", F.lit(False).alias("word")))
-        parts.append(kept.select("key", "n", (F.col("value") * ten).alias("value"), F.lit(False).alias("word")))
+        states = kept.groupBy("ctx").agg(F.max("times").alias("n"), F.max("back").alias("value")).withColumn("key", F.xxhash64("ctx", F.lit(_signed(STATE))))
+        entries = states.select("key", "n", "value").unionByName(kept.select("key", "n", "value"))
+        parts.append(stored(entries.select("key", "n", (F.col("value") * ten).alias("value"), F.lit(False).alias("word"))))
         known = grams.select("key", "n", "lp")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    whole = stored(whole)
+    whole = stored(reduce(DataFrame.unionByName, parts))
+    discard(words, grams, *parts)
     # the lowest power of two from which on at most NEAR entries occur as often
     room, least = NEAR, 1 << 62
     for power, n in sorted(((r[0], r[1]) for r in whole.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
