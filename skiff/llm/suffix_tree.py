@@ -8,9 +8,9 @@ where a next symbol is kept if it follows LEAST times and its probability differ
 absolutely discounted counts; the rest of a state's mass goes to its suffix's distribution, so every state is smoothed down
 to the root. A token is scored in the state of the longest suffix of its history.
 
-Counting: words and grams are 64-bit keys (common.word_keys, and xxhash64 of the keys of a gram's two ends), so two of n
+Counting: words and grams are 64-bit keys (common.word_keys, and a mix of the keys of a gram's two ends), so two of n
 share one with a probability of about n * n / 2 ** 65. Tasks count their own first and deal sorted blocks of keys by key
-range. A first round counts 40 bits of each key alone; only grams that this leaves, by a bitmap, are counted with their ends.
+range. A first pass counts words, and grams by 40 bits of their keys; a second counts what that leaves, by bitmaps, with its ends.
 
 Sizes: the tests are on counts, so words, states and kept symbols grow with the corpus. They are a table (key, n, value, word)
 of what each adds to a token's logarithm: a word its root's, a state its backoff weight, a kept symbol the rest. The NEAR most
@@ -38,31 +38,21 @@ from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, may_hold,
 
 #: Entries that are broadcast at most, at 24 bytes each.
 NEAR = 3_000_000
-ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 4, 3.0, 1.2, 0.5, 3
+ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 2, 3.0, 1.2, 0.5, 3
 #: Keys that a task counts before it hands them on, and bytes of text for one range of keys.
 HELD, RANGE_BYTES = 4_000_000, 4 << 20
 #: Keys of a text's start and end, and of the symbol that stands for a state's own weight.
 START, END, STATE = (np.uint64(k) for k in (0x7374617274000001, 0x656E640000000001, 0x7374617465000001))
 
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_FIRST, _LAST = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _rotated(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-def _hash_long(x, seed):
-    h = (seed + _P5 + np.uint64(8)) ^ (_rotated(x * _P2, 31) * _P1)
-    h = _rotated(h, 27) * _P1 + _P4
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
-
-def gram_keys(context: np.ndarray, following) -> np.ndarray:
-    """F.xxhash64(context, following)."""
+def gram_keys(context: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Of the keys of a gram's two ends."""
     with np.errstate(over="ignore"):
-        return _hash_long(following, _hash_long(context, np.uint64(42)))
+        x = context * _FIRST + following * _LAST
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(31))
 
 
 def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,28 +82,30 @@ def _numbers(planes: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(f">{kind}").ravel().astype(kind)
 
 
-def _blocks(order_by: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def _blocks(order: int, order_by: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """Columns, sorted by order_by, as one row for each range of its first bits."""
     part = (order_by >> np.uint64(64 - bits)).astype(np.int64)
     cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
     packed = [pa.array([_planes(c[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.diff(cut)), *packed], names=["part", "size", *(f"c{i}" for i in range(len(columns)))])
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]] + (order << bits)), pa.array(np.diff(cut)), *packed], names=["part", "size", *(f"c{i}" for i in range(len(columns)))])
 
 
-def _dealt(texts: DataFrame, start, kinds: list[str], merge, schema: str) -> DataFrame:
-    """start() in each task turns texts into batches of _blocks; the blocks of a range meet, and merge makes of their columns
-    the rows of schema."""
+def _dealt(texts: DataFrame, start, kinds: list[str], merge, schema: str, bits: int) -> DataFrame:
+    """start() in each task turns texts into batches of _blocks; the blocks of an order's range meet, and merge makes of the
+    order and their columns the rows of schema, led by the order."""
     names = [f"c{i}" for i in range(len(kinds))]
     bound_batches(texts.sparkSession)
     made = texts.select("text").mapInArrow(lambda batches: start()(_slices(batches)), "part bigint, size bigint, " + ", ".join(f"{n} binary" for n in names))
+    schema = f"order int, {schema}"
     out = [f.name for f in T._parse_datatype_string(schema)]
 
     def run(batches):
         now, held = None, []
 
         def done():
-            cols = merge(*(np.concatenate([h[i] for h in held]) for i in range(len(kinds))))
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=out)
+            cols = merge(now >> bits, *(np.concatenate([h[i] for h in held]) for i in range(len(kinds))))
+            cols = [np.full(len(cols[0]), now >> bits, np.int32), *(c.view(np.int64) if c.dtype == np.uint64 else c for c in cols)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=out)
 
         for b in batches:
             for k, part in enumerate(b.column(0).to_pylist()):
@@ -128,95 +120,113 @@ def _dealt(texts: DataFrame, start, kinds: list[str], merge, schema: str) -> Dat
     return made.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the place of one of each, and their sums."""
-    by = np.argsort(keys, kind="stable")
-    keys, n = keys[by], n[by]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[at], by[at], np.add.reduceat(n, at)
-
+def _held(start):
+    """A task's work on slices of texts: start() gives (take, flush); take(texts) returns how many keys it now holds."""
 
-def _counts(texts: DataFrame, order: int, shared, bits: int) -> DataFrame:
-    """(key, n): for order 0 all words and ends; else the grams of order + 1 words by 40 bits of their keys, where they occur
-    LEAST times. shared: a bitmap of the shorter grams that do."""
+    def begin():
+        take, flush = start()
 
-    def start():
         def work(slices):
-            held, size = [], 0
-
-            def flush():
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                return _blocks(keys, [keys if order == 0 else keys >> np.uint64(24), n.astype(np.uint32)], bits)
-
+            size = 0
             for texts in slices:
-                g, place, _ = laid_out(texts)
-                if order == 0:
-                    g = g[place > 0]
-                else:
-                    g = _grams(g, place, order, shared.value)[0]
-                    g = g >> np.uint64(24) << np.uint64(24)
-                held.append(g)
-                size += len(g)
+                size = take(texts)
                 if size > HELD:
-                    yield flush()
+                    yield from flush()
                     size = 0
             if size:
-                yield flush()
+                yield from flush()
 
         return work
 
-    def merge(keys, n):
-        keys, _, n = _summed(keys, n.astype(np.int64))
-        keep = n >= (LEAST if order else 1)
-        return keys[keep], n[keep]
+    return begin
 
-    return _dealt(texts, start, ["u8", "u4"], merge, "key bigint, n bigint")
 
-
-def _grams(g: np.ndarray, place: np.ndarray, order: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context, next) of the grams of order + 1 words of which the bitmap may hold the first and the last order ones."""
-    for _ in range(order - 1):
-        g = gram_keys(g[:-1], g[1:])
-    there = may_hold(known, g)
-    at = np.flatnonzero(there[:-1] & there[1:] & (place[order:] >= order))
-    return gram_keys(g[at], g[at + 1]), g[at], g[at + 1]
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of one of each, and their sums."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], by[at], np.add.reduceat(n[by], at)
 
 
-def _gram_counts(texts: DataFrame, order: int, shared, heavy, bits: int) -> DataFrame:
-    """(ctx, next, n): the grams that occur LEAST times. heavy: a bitmap of the 40 bits of keys that do."""
+def _counts(texts: DataFrame, orders: int, bits: int) -> DataFrame:
+    """(order, key, n): for order 0 all words and ends; for the others the grams of order + 1 words by 40 bits of their keys,
+    where those occur LEAST times."""
+    low = np.uint64(24)
 
     def start():
-        def work(slices):
-            held, size = [], 0
+        held = [[] for _ in range(orders + 1)]
+
+        def take(texts):
+            g, place, _ = laid_out(texts)
+            held[0].append(g[place > 0])
+            for order in range(1, orders + 1):
+                g = gram_keys(g[:-1], g[1:])
+                held[order].append(g[place[order:] >= order])
+            return sum(map(len, held[0])) * (orders + 1)
+
+        def flush():
+            for order, parts in enumerate(held):
+                keys = np.concatenate(parts)
+                parts.clear()
+                keys, n = np.unique(keys if order == 0 else keys >> low, return_counts=True)
+                if len(keys):
+                    yield _blocks(order, keys if order == 0 else keys << low, [keys, n.astype(np.uint32)], bits)
+
+        return take, flush
+
+    def merge(order, keys, n):
+        keys, _, n = _summed(keys, n.astype(np.int64))
+        keep = n >= (LEAST if order else 1)
+        return keys[keep], n[keep]
 
-            def flush():
-                keys, ctx, following = (np.concatenate([h[i] for h in held]) for i in range(3))
-                _, at, n = _summed(keys, np.ones(len(keys), np.uint32))
-                by = np.lexsort((following[at], ctx[at]))
-                held.clear()
-                return _blocks(ctx[at[by]], [ctx[at[by]], following[at[by]], n[by].astype(np.uint32)], bits)
+    return _dealt(texts, _held(start), ["u8", "u4"], merge, "key bigint, n bigint", bits)
 
-            for texts in slices:
-                g, place, _ = laid_out(texts)
-                found = _grams(g, place, order, shared.value)
-                ok = may_hold(heavy.value, found[0] >> np.uint64(24))
-                held.append([f[ok] for f in found])
-                size += len(held[-1][0])
-                if size > HELD // 2:
-                    yield flush()
-                    size = 0
-            if size:
-                yield flush()
 
-        return work
+def _gram_counts(texts: DataFrame, heavy, bits: int) -> DataFrame:
+    """(order, ctx, next, key, n): the grams that occur LEAST times, with the keys of their first and their last order words.
+    heavy: by order, a bitmap of what may (for words by their keys, for grams by 40 bits of them)."""
+    low = np.uint64(24)
 
-    def merge(ctx, following, n):
-        _, at, n = _summed(gram_keys(ctx, following), n.astype(np.int64))
+    def start():
+        maps = heavy.value
+        held = [[] for _ in maps]
+
+        def take(texts):
+            g, place, _ = laid_out(texts)
+            there = may_hold(maps[0], g)
+            for order in range(1, len(maps)):
+                at = np.flatnonzero(there[:-1] & there[1:] & (place[order:] >= order))
+                key = gram_keys(g[at], g[at + 1])
+                ok = may_hold(maps[order], key >> low)
+                at, key = at[ok], key[ok]
+                held[order].append((key, g[at], g[at + 1]))
+                # the keys of grams that cannot occur often are not asked for
+                longer, there = np.zeros(len(g) - 1, np.uint64), np.zeros(len(g) - 1, bool)
+                longer[at], there[at] = key, True
+                g = longer
+            return 3 * sum(len(h[0]) for parts in held for h in parts)
+
+        def flush():
+            for order, parts in enumerate(held):
+                if parts:
+                    key, ctx, following = (np.concatenate([h[i] for h in parts]) for i in range(3))
+                    parts.clear()
+                    _, at, n = _summed(key, np.ones(len(key), np.uint32))
+                    by = at[np.argsort(ctx[at])]
+                    counted = np.empty(len(key), np.uint32)
+                    counted[at] = n
+                    if len(by):
+                        yield _blocks(order, ctx[by], [ctx[by], following[by], counted[by]], bits)
+
+        return take, flush
+
+    def merge(order, ctx, following, n):
+        keys, at, n = _summed(gram_keys(ctx, following), n.astype(np.int64))
         keep = n >= LEAST
-        return ctx[at[keep]], following[at[keep]], n[keep]
+        return ctx[at[keep]], following[at[keep]], keys[keep], n[keep]
 
-    return _dealt(texts, start, ["u8", "u8", "u4"], merge, "ctx bigint, next bigint, n bigint")
+    return _dealt(texts, _held(start), ["u8", "u8", "u4"], merge, "ctx bigint, next bigint, key bigint, n bigint", bits)
 
 
 class Entries:
@@ -254,9 +264,9 @@ class Tree:
         self.near = Entries(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
         self.far = np.zeros(1 << 12, np.uint8)
 
-    def score(self, texts: pa.Array) -> list[pa.Array]:
-        """For each text: tokens, known ones, sums of log10 P in the root and in the longest state as far as known here, and the
-        keys to look up for the rest."""
+    def score(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each text: tokens, known ones, sums of log10 P in the root and in the longest state as far as known here; and the
+        keys to look up for the rest, with the text that each belongs to."""
         w, place, begin = laid_out(texts)
         value, base, known = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w), bool)
         where, more = [], []
@@ -276,18 +286,16 @@ class Tree:
         g = w
         for order in range(1, self.orders + 1):
             at = np.flatnonzero(place[order:] >= order)
-            state, g = gram_keys(g[:-1], STATE), gram_keys(g[:-1], g[1:])
+            state, g = g[:-1] ^ STATE, gram_keys(g[:-1], g[1:])
             for k in (state, g):
                 add(k[at], at + order, False)
-        where, more = np.concatenate(where), np.concatenate(more).view(np.int64)
-        by = np.argsort(where, kind="stable")
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(where[by], begin).astype(np.int32)), pa.array(more[by]))
         sums = [np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.zeros(0, x.dtype) for x in (known.astype(np.int64), base, value)]
-        return [pa.array(np.diff(begin) - 1), *(pa.array(s) for s in sums), lists]
+        text = np.searchsorted(begin, np.concatenate(where), "right") - 1
+        return [np.diff(begin) - 1, *sums], text, np.concatenate(more)
 
 
 def _grown(counted: DataFrame, known: DataFrame) -> DataFrame:
-    """Of an order's grams (ctx, next, n), given the one before (key, n, lp): (ctx, key, n, times, lp: ln P(last word | the others),
+    """Of an order's grams (ctx, next, key, n), given the one before (key, n, lp): (ctx, key, n, times, lp: ln P(last word | the others),
     value: null unless kept, back: its state's backoff weight or null)."""
     grams = counted.join(known.select(F.col("key").alias("next"), F.col("lp").alias("lq")), "next")
     grams = grams.join(known.select(F.col("key").alias("ctx"), F.col("n").alias("times")), "ctx").withColumn("p", F.log((F.col("n") - DISCOUNT) / F.col("times")))
@@ -296,7 +304,7 @@ def _grown(counted: DataFrame, known: DataFrame) -> DataFrame:
     many, gain = F.count_if(keep).over(over), F.sum(F.when(keep, F.col("n") * (F.col("p") - F.col("lq")))).over(over)
     left = lambda c: F.greatest(1 - F.sum(F.when(keep, F.exp(c))).over(over), F.lit(1e-9))
     back = F.when((many > 0) & (gain >= GAIN * many), F.log(left("p") / left("lq")))
-    out = grams.select("ctx", F.xxhash64("ctx", "next").alias("key"), "n", "times", "p", "lq", keep.alias("keep"), back.alias("back"))
+    out = grams.select("ctx", "key", "n", "times", "p", "lq", keep.alias("keep"), back.alias("back"))
     suffix = F.coalesce("back", F.lit(0.0)) + F.col("lq")
     kept = F.col("keep") & F.col("back").isNotNull()
     return out.select("ctx", "key", "n", "times", F.when(kept, F.col("p")).otherwise(suffix).alias("lp"), F.when(kept, F.col("p") - suffix).alias("value"), "back")
@@ -311,7 +319,8 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (size // RANGE_BYTES).bit_length())
-    words = stored(_counts(texts, 0, None, bits))
+    counts = stored(_counts(texts, ORDERS, bits))
+    words = counts.where("order = 0").select("key", "n")
     total, kinds, ends = words.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("key") == _signed(END), F.col("n")))).first()
     tree = Tree(total or 0, kinds)
     root = F.log((F.col("n") + 0.5) / F.lit(tree.unit))
@@ -319,27 +328,24 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     parts = [words.select("key", "n", (root * ten).alias("value"), F.lit(True).alias("word"))]
     known = words.select("key", "n", root.alias("lp"))
     known = known.unionByName(spark.createDataFrame([(_signed(START), ends or 0, 0.0)], known.schema)).where(F.col("n") >= LEAST)
-    grams = words  # of the last order counted
+    often = [known, *(counts.where(F.col("order") == k) for k in range(1, ORDERS + 1))]
+    heavy = spark.sparkContext.broadcast([bitmap(o.select("key")) for o in often])
+    found = stored(_gram_counts(texts, heavy, bits))
+    heavy.unpersist()
+    tables = [counts, found]
     for order in range(1, ORDERS + 1):
-        shared = spark.sparkContext.broadcast(bitmap(known.select("key")))
-        often = stored(_counts(texts, order, shared, bits))
-        heavy = spark.sparkContext.broadcast(bitmap(often.select("key")))
-        discard(often)
-        shorter, grams = grams, stored(_grown(_gram_counts(texts, order, shared, heavy, bits), known))
-        if shorter is not words:
-            discard(shorter)
-        shared.unpersist()
-        heavy.unpersist()
+        grams = stored(_grown(found.where(F.col("order") == order).drop("order"), known))
+        tables.append(grams)
         kept = grams.where("value is not null")
         if kept.isEmpty():
             break
         tree.orders = order
-        states = kept.groupBy("ctx").agg(F.max("times").alias("n"), F.max("back").alias("value")).withColumn("key", F.xxhash64("ctx", F.lit(_signed(STATE))))
+        states = kept.groupBy("ctx").agg(F.max("times").alias("n"), F.max("back").alias("value")).withColumn("key", F.col("ctx").bitwiseXOR(F.lit(_signed(STATE))))
         entries = states.select("key", "n", "value").unionByName(kept.select("key", "n", "value"))
-        parts.append(stored(entries.select("key", "n", (F.col("value") * ten).alias("value"), F.lit(False).alias("word"))))
+        parts.append(entries.select("key", "n", (F.col("value") * ten).alias("value"), F.lit(False).alias("word")))
         known = grams.select("key", "n", "lp")
     whole = stored(reduce(DataFrame.unionByName, parts))
-    discard(words, grams, *parts)
+    discard(*tables)
     # the lowest power of two from which on at most NEAR entries occur as often
     room, least = NEAR, 1 << 62
     for power, n in sorted(((r[0], r[1]) for r in whole.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
@@ -357,25 +363,33 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
 def score(docs: DataFrame, model: tuple[Tree, DataFrame], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(id_col, the extra columns, n_tokens, n_known, base_score, score): one row for each row of docs."""
     tree, far = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
-    names = ["n", "known", "base", "score", "more"]
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    bound_batches(docs.sparkSession)
+    rows = docs.select(utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.struct(F.col(id_col).alias("id"), *(c.alias(k) for k, c in (extra or {}).items())).alias("doc"))
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [pa.StructArray.from_arrays(shared.value.score(b.slice(at, 512)), names) for at in range(0, len(b), 512)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
-
-    kind = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("more", pa.list_(pa.int64()))])
-    bound_batches(spark)
-    marked = F.arrow_udf(run, "n bigint, known bigint, base double, score double, more array<bigint>").asNondeterministic()(utf8(text_col))
-    marked = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), *(c.alias(k) for k, c in (extra or {}).items()), marked.alias("_s")))
-    more = marked.select("_row", F.explode("_s.more").alias("key"))
-    found = more.join(far, "key").groupBy("_row").agg(F.count_if("word").alias("_known"), F.sum(F.when(F.col("word"), F.col("value"))).alias("_base"), F.sum("value").alias("_all"))
-    known = F.col("_s.known") + F.coalesce("_known", F.lit(0))
-    unseen = (F.col("_s.n") - known) * F.lit(math.log10(0.5 / tree.unit))
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0.0)) + unseen)
-    return marked.join(found, "_row", "left").select(id_col, *(extra or {}), F.col("_s.n").alias("n_tokens"), known.alias("n_known"), plus("_s.base", "_base").alias("base_score"), plus("_s.score", "_all").alias("score"))
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
+                sums, where, keys = shared.value.score(some.column(0))
+                n, more = some.num_rows, len(keys)
+                number, doc = some.column(1), some.column(2)
+                # a row for each text, under a key that no entry has a use for, then one for each key to look up
+                cols = [pa.concat_arrays([number, number.take(pa.array(where))]), pa.array(np.concatenate([number.to_numpy() * 0x9E3779B1, keys.view(np.int64)])), pa.concat_arrays([doc, pa.nulls(more, doc.type)])]
+                cols += [pa.concat_arrays([pa.array(x), pa.nulls(more, pa.array(x).type)]) for x in sums]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "doc", "tokens", "known", "base", "score"])
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("tokens bigint, known bigint, base double, score double")])
+    asked = rows.mapInArrow(run, schema)
+    found = asked.join(far, "key", "left")
+    own = F.col("tokens").isNull()
+    value = F.when(own, F.col("value"))
+    sums = found.groupBy("row").agg(
+        F.first("doc", ignorenulls=True).alias("doc"), F.sum("tokens").alias("n_tokens"), (F.coalesce(F.sum("known"), F.lit(0)) + F.count_if(own & F.col("word"))).alias("n_known"),
+        (F.sum("base") + F.coalesce(F.sum(F.when(F.col("word"), value)), F.lit(0.0))).alias("base"), (F.sum("score") + F.coalesce(F.sum(value), F.lit(0.0))).alias("score"),
+    )
+    unseen = (F.col("n_tokens") - F.col("n_known")) * F.lit(math.log10(0.5 / tree.unit))
+    return sums.select(F.col("doc.id").alias(id_col), *(F.col(f"doc.{k}").alias(k) for k in extra or {}), "n_tokens", "n_known", (F.col("base") + unseen).alias("base_score"), (F.col("score") + unseen).alias("score"))
 
 
 def query(spark, sf_dir):
