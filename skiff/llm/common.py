@@ -232,6 +232,20 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def matching(rows: DataFrame, by: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose long `by` may be among keys (column key), and the other rows, by a bitmap of keys: all that are
+    among them are in the first part, whose join then moves few others. Each part reads rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(may_hold(shared.value, b.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    bound_batches(rows.sparkSession)
+    held = F.arrow_udf(run, "boolean")(by)
+    return rows.where(held), rows.where(~held)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 1 << 18) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Whole runs of equal keys in ordered batches of numbers, many at a time: columns, and where runs start and end."""
     held: list[dict[str, np.ndarray]] = []

@@ -21,11 +21,11 @@ null link like others, and their group's smallest id that is not null stands for
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from skiff.llm.common import components, grouped, in_blocks, local_roots, map_batches, row_function, stored, table, utf8
+from skiff.llm.common import components, fresh, grouped, in_blocks, local_roots, map_batches, matching, row_function, stored, table, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in one block of a bucket.
@@ -45,7 +45,11 @@ def fingerprint(text: bytes | None) -> int:
         starts = [0, *ends[: -SHINGLE].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit numbers, as a signed integer."""
     if len(h) < 512:
         ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     else:
@@ -150,25 +154,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components_of(marked).select(F.col("_id").alias(id_col), F.col("_fp").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id (null last), and of those the smallest digest of id and
-    text; of rows that agree in both, one stays."""
-    digest_ = digest(id_col, text_col)
-    marked = stored(docs.select(F.col(id_col).alias("_id"), digest_.alias("_key"), row_function("fp bigint", _start)(utf8(text_col))["fp"].alias("_fp")))
-    return one_of_each(docs, digest_, _components_of(marked))
-
-
-def digest(id_col: str, text_col: str) -> Column:
-    """Of a row's id and text."""
-    return F.sha2(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))), 256)
-
-
-def one_of_each(docs: DataFrame, digest: Column, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay. found: (_id, _key: the row's digest, component)."""
-    keep = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_key"))).alias("w")).select(F.col("w._key").alias("_key"))
-    chosen = docs.withColumn("_key", digest).join(keep, "_key")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
-    return chosen.withColumn("_row", first).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """One row of each component: the one with the smallest id (null last), and of those the smallest key of id and text; of
+    rows that agree in both, the smallest by the hash of all columns. similarity None: links of fingerprints as above; 0.8: links of
+    documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (see shingles).
+
+    Null and empty texts are told apart as rows, but have one fingerprint. Columns may be of any kind and have any name."""
+    if similarity is not None:
+        from skiff.llm import shingles
+
+        if similarity != 0.8:
+            raise ValueError("similarity is 0.8 or None")
+        return shingles.deduplicate(docs, id_col, text_col)
+    rows, key = keyed(docs, id_col, text_col)
+    marked = stored(rows.select(F.col(f"`{id_col}`").alias("_id"), F.col(key).alias("_key"), row_function("fp bigint", _start)(utf8(f"`{text_col}`"))["fp"].alias("_fp")))
+    found = _components_of(marked).select(F.col("_id").alias("id"), F.col("_key").alias("key"), "component")
+    return one_of_each(rows, key, found, docs.columns)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a binary column that tells rows by id and text (128 bits of SHA-256 over both, with their lengths and nulls),
+    and that column's name."""
+    parts = [F.col(f"`{c}`").cast("string") for c in (id_col, text_col)]
+    told = F.concat(*(F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("null:")) for p in parts))
+    key = fresh(docs, "_key")
+    return docs.withColumn(key, F.unhex(F.substring(F.sha2(told, 256), 1, 32))), key
+
+
+def one_of_each(rows: DataFrame, key: str, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that stay, with the columns. found: (id, key, component), a row for each row. Only rows of components of several
+    rows are dealt out by key; the others stay where they are."""
+    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("w")).where("n > 1")
+    judged = stored(found.join(groups.select("component", "w"), "component").groupBy("key").agg(F.bool_or(F.col("key") == F.col("w.key")).alias("stays")))
+    some, others = matching(rows, F.xxhash64(key), judged.select(F.xxhash64("key").alias("key")))
+    stays, at = fresh(rows, "_stays"), fresh(rows, "_first")
+    some = some.join(judged.select(F.col("key").alias(key), F.col("stays").alias(stays)), key, "left")
+    kinds = dict(rows.dtypes)
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(f"`{c}`") for c in columns]
+    # a row in no group of several that has passed the bitmap is the only one of its key
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*plain)))
+    some = some.where(f"{stays} is null or {stays}").withColumn(at, first).where(F.col(at) == 1)
+    pick = [F.col(f"`{c}`") for c in columns]
+    return others.select(*pick).unionByName(some.select(*pick))
 
 
 def query(spark, sf_dir):

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from skiff.llm import bpe, common, decontaminate, queries, secrets, simhash, suffix_tree, toxicity
-from tests.llm.test_cases import scored_by_brute_force, suffix_tree_by_brute_force
+from tests.llm.test_cases import near_copies_by_brute_force, scored_by_brute_force, suffix_tree_by_brute_force
 from tests.oracle import compare
 
 SF, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -84,8 +84,9 @@ def test_pipeline(spark):
     model = toxicity.learned(spark, TINY)
     score = lambda t: 0.0 if model is None else 1 / (1 + np.exp(-(model[1][:3] @ np.array(model[0].features(t.encode())) + model[1][3])))
     kept = [(i, t) for i, t in docs if score(t) < 0.5]
-    groups = by_brute_force(kept)
-    kept = [(i, t) for i, t in kept if groups[i][1] == i]
+    # the near-duplicate stage: five-word shingles, a Jaccard similarity of 0.8 or more
+    stay = near_copies_by_brute_force(kept)
+    kept = [(i, t) for i, t in kept if i in stay]
     items = duckdb.sql(f"SELECT CAST(item_id AS VARCHAR), text FROM '{TINY}/benchmark.parquet'").fetchall()
     dirty = {r[0] for r in decontaminate.brute_force([(i, t.encode()) for i, t in kept], [(i, t.encode()) for i, t in items]) if r[5]}
     want = {}
