@@ -1,6 +1,7 @@
 """What the operators of this subpackage share: running Python over Arrow batches beside the other columns,
 tables in the shared folder, splitting hot buckets, and connected components."""
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -111,6 +112,7 @@ def row_function(schema: str, start: Callable[[], Callable[[list], Sequence[Sequ
                 rows = work(batch.slice(at, SLICE_ROWS).to_pylist())
                 parts.append(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], out.field(i).type) for i in range(out.num_fields)], fields=list(out)))
             yield pa.concat_arrays(parts) if parts else pa.array([], out)
+        give_back()
 
     if spark := SparkSession.getActiveSession():
         bound_batches(spark)
@@ -118,6 +120,13 @@ def row_function(schema: str, start: Callable[[], Callable[[list], Sequence[Sequ
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
+def give_back() -> None:
+    """At a task's end: memory that is free returns to the system, as Python workers live on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]]) -> DataFrame:
     """mapInArrow with a state of its own in each task. start() gives a function from a batch to dicts of columns
     (lists, arrays); called with None at the end of the task."""
@@ -128,6 +137,7 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
         for batch in _then_none(batches):
             for cols in work(batch) or ():
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if not isinstance(cols[n], pa.Array) else cols[n].cast(t) for n, t in names], names=[n for n, _ in names])
+        give_back()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

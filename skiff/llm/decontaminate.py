@@ -3,27 +3,34 @@
 A word is a run of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z are lower-cased; a window is ten consecutive words of a
 benchmark item, or the whole item when it has one to nine. Windows of one length form one machine. Its shift table says,
 for the block of two words (one, for one-word windows) at the search's right edge, how far the edge can move without
-missing a window; where that is zero, the block's bucket (keyed again by the window's first block) names the windows to
-compare word by word.
+missing a window; where that is zero, a bucket (by the hashes of the window's last and first blocks) names the windows to
+compare word by word. Words are numbered by the benchmark's vocabulary; a word that it does not have is skipped with all
+windows over it.
 
 Cases: a null or empty text has no words and no hits. Null, empty and wordless items have no windows. Items with one
 item_id, or equal texts under several, are allowed: n_items counts distinct ids; an item whose id is null marks hits but
 is not listed. Repeated documents are each answered. An empty benchmark gives no hits. Columns of docs are kept as they
-are; the result's column takes another name if docs has one of that name.
+are; the result's column takes another name if docs has one of that name. A very long text is searched whole, as one list
+of words; an empty docs gives no rows.
 """
 
 import hashlib
+import uuid
+from array import array
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiff.llm.common import fresh, row_function, table, utf8
 
 WINDOW = 10
-#: Bytes of benchmark text in one search machine (about 50 times as much memory), and in one broadcast.
-MACHINE_BYTES, BROADCAST_BYTES = 1 << 20, 32 << 20
+#: Bytes of benchmark text in one broadcast and its machines (which take about ten times as much memory).
+BROADCAST_BYTES = 16 << 20
 _TO_SPACE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 FOUND = "n_words bigint, spans array<bigint>, items array<string>"
@@ -39,36 +46,59 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> Iterable[tuple[bytes,
     return (tuple(words[i : i + size]) for i in range(len(words) - size + 1))
 
 
+_FACTOR = 0x9E3779B1
+
+
 class WuManber:
-    """Finds windows of one length in lists of words."""
-
-    def __init__(self, windows: Iterable[tuple[bytes, ...]]):
-        windows = set(windows)
-        self.length = len(next(iter(windows)))
-        self.block = min(2, self.length)
-        self.far = self.length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[tuple[bytes, ...]]]] = defaultdict(lambda: defaultdict(set))
-        for w in windows:
-            for end in range(self.block, self.length + 1):
-                at = w[end - self.block : end]
-                self.shift[at] = min(self.shift.get(at, self.far), self.length - end)
-            self.bucket[w[-self.block :]][w[: self.block]].add(w)
-
-    def find(self, words: list[bytes]) -> Iterable[tuple[int, tuple[bytes, ...]]]:
-        """(start, window) of each occurrence, by start."""
-        n, m, b, far = len(words), self.length, self.block, self.far
-        shift, edge = self.shift.get, m
+    """Finds windows of one length, of words as numbers. Tables are flat arrays, some 20 bytes a window, not objects."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, length: int):
+        """words: all items' numbers one after the other; starts: where windows begin in them."""
+        self.words, self.length, self.block = array("q", words.astype(np.int64).tobytes()), length, min(2, length)
+        self.far = length - self.block + 1
+        self.mask = (1 << max(10, (4 * len(starts)).bit_length())) - 1
+        # the shift table: for a block's hash, the least distance of such a block from a window's right edge
+        shift = np.full(self.mask + 1, min(255, self.far), np.uint8)
+        for off in range(length - self.block + 1):
+            np.minimum.at(shift, self._hash(words, starts + off), length - self.block - off)
+        self.shift = bytearray(shift)
+        # the buckets: windows by the hash of their last and first blocks
+        bucket = (self._hash(words, starts + length - self.block) * 31 + self._hash(words, starts)) & self.mask
+        by = np.argsort(bucket, kind="stable")
+        self.first = array("q", np.append(0, np.cumsum(np.bincount(bucket, minlength=self.mask + 1))).astype(np.int64).tobytes())
+        self.starts = array("q", starts[by].astype(np.int64).tobytes())
+
+    def _hash(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = words[at].astype(np.int64) * _FACTOR
+        return (h + words[at + 1] if self.block == 2 else h) & self.mask
+
+    def find(self, ids: list[int]) -> Iterable[tuple[int, int]]:
+        """(place, start of an equal window) for each occurrence, by place. Numbers below 0 are words of no item."""
+        n, m, b, mask, shift, first = len(ids), self.length, self.block, self.mask, self.shift, self.first
+        edge = m
         while edge <= n:
-            block = (words[edge - 2], words[edge - 1]) if b == 2 else (words[edge - 1],)
-            step = shift(block, far)
-            if step:
+            last = ids[edge - 1]
+            if last < 0:
+                edge += m
+                continue
+            h = last * _FACTOR
+            if b == 2:
+                if ids[edge - 2] < 0:
+                    edge += m - 1
+                    continue
+                h = ids[edge - 2] * _FACTOR + last
+            h &= mask
+            if step := shift[h]:
                 edge += step
                 continue
             start = edge - m
-            same = self.bucket[block].get(tuple(words[start : start + b]))
-            if same and (here := tuple(words[start:edge])) in same:
-                yield start, here
+            head = ids[start] * _FACTOR + ids[start + 1] if b == 2 else ids[start] * _FACTOR
+            k = (h * 31 + (head & mask)) & mask
+            if first[k] < first[k + 1]:
+                here = array("q", ids[start:edge])
+                for p in self.starts[first[k] : first[k + 1]]:
+                    if self.words[p : p + m] == here:
+                        yield start, p
             edge += 1
 
 
@@ -76,24 +106,47 @@ class Searcher:
     """Machines over some benchmark items: (item_id, text) pairs."""
 
     def __init__(self, items: Iterable[tuple[str | None, bytes]]):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        self.number: dict[bytes, int] = {}
+        self.items, begin, words = [], [0], []
+        starts: dict[int, list[np.ndarray]] = defaultdict(list)
         for item, text in items:
-            for w in windows_of(words_of(text)):
-                owners[w].update(() if item is None else (item,))
-        lengths: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        for w in owners:
-            lengths[len(w)].append(w)
-        self.owners, self.machines = owners, [WuManber(ws) for ws in lengths.values()]
+            own = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
+            if own:
+                length = min(WINDOW, len(own))
+                starts[length].append(np.arange(begin[-1], begin[-1] + len(own) - length + 1))
+                words.append(np.array(own, np.int32))
+                self.items.append(item)
+                begin.append(begin[-1] + len(own))
+        self.begin = begin
+        whole = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.machines = [WuManber(whole, np.concatenate(at), length) for length, at in starts.items()]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        spans, items = [], set()
+        spans, items, number = [], set(), self.number.get
+        ids = [number(w, -1) for w in words]
         for machine in self.machines:
-            for start, window in machine.find(words):
-                spans.append((start, start + machine.length))
-                items |= self.owners[window]
+            before = -1
+            for place, p in machine.find(ids):
+                if place != before:
+                    spans.append((place, place + machine.length))
+                    before = place
+                item = self.items[bisect_right(self.begin, p) - 1]
+                if item is not None:
+                    items.add(item)
         return spans, items
 
 
+_built: dict[str, Searcher] = {}
+
+
+def built(tag: str, shared: Broadcast) -> Searcher:
+    """The searcher over a broadcast list of items, made once in a worker's life; tag tells broadcasts apart."""
+    if tag not in _built:
+        _built.clear()
+        _built[tag] = Searcher(shared.value)
+    return _built[tag]
+
+
 def merged(spans: Iterable[Sequence[int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -104,24 +157,13 @@ def merged(spans: Iterable[Sequence[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(items: list[tuple[str | None, bytes]], most: int) -> list[list[tuple[str | None, bytes]]]:
-    parts, size = [[]], 0
-    for item in items:
-        if size and size + len(item[1]) > most:
-            parts.append([])
-            size = 0
-        parts[-1].append(item)
-        size += len(item[1])
-    return parts
-
-
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", into: str = "contamination") -> tuple[DataFrame, str]:
     """docs with a struct column: n_words, spans (word ranges that windows cover, merged: start, end, start, ...) and items
     (ids of the items with occurring windows, sorted). Returns it with that column's name.
 
-    The benchmark is dealt by hash into groups of about BROADCAST_BYTES at most, whatever its size; each group is one
-    broadcast and one pass over the texts, and within it machines of MACHINE_BYTES are built one after the other. There is
-    no shuffle of documents."""
+    The benchmark is dealt by hash into groups of about BROADCAST_BYTES at most (or one item, if it is longer), whatever its
+    size; each group is one broadcast, one set of machines that a worker builds once, and one pass over the texts. There is no
+    shuffle of documents."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), utf8(item_text_col).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -129,25 +171,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     into = fresh(docs, into)
     for k in range(groups):
         some = [(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k).collect()]
-        shared = spark.sparkContext.broadcast(_parts(some, MACHINE_BYTES))
-
-        def start(shared=shared):
-            parts = shared.value
-            kept = Searcher(parts[0]) if len(parts) == 1 else None
-
-            def work(rows):
-                texts = [words_of(r["text"]) for r in rows]
-                spans = [[] if r["before"] is None else list(zip(r["before"]["spans"][::2], r["before"]["spans"][1::2], strict=True)) for r in rows]
-                found = [set() if r["before"] is None else set(r["before"]["items"]) for r in rows]
-                for part in parts:
-                    searcher = kept or Searcher(part)
-                    for i, words in enumerate(texts):
-                        new, ids = searcher.find(words)
-                        spans[i] += new
-                        found[i] |= ids
-                return [(len(w), [x for s in merged(sp) for x in s], sorted(f)) for w, sp, f in zip(texts, spans, found, strict=True)]
-
-            return work
+        shared = spark.sparkContext.broadcast(some)
+
+        def start(shared=shared, tag=uuid.uuid4().hex):
+            searcher = built(tag, shared)
+
+            def one(r):
+                words = words_of(r["text"])
+                spans, items = searcher.find(words)
+                if r["before"] is not None:
+                    spans += zip(r["before"]["spans"][::2], r["before"]["spans"][1::2], strict=True)
+                    items |= set(r["before"]["items"])
+                return len(words), [x for s in merged(spans) for x in s], sorted(items)
+
+            return lambda rows: [one(r) for r in rows]
 
         before = F.col(into) if k else F.lit(None).cast(f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>")
         docs = docs.withColumn(into, row_function(FOUND, start)(F.struct(utf8(text_col).alias("text"), before.alias("before"))))

@@ -11,12 +11,14 @@ the smallest size) sets `rejected`; the language stays named, for contracts that
 
 Cases: `und` with score 0 for a null text and a text without a letter. Training rows with a null language or text are left
 out; without any training rows every text is `und`. Ties go to the language with more training
-rows. Repeated documents are each answered. Case does not count: sample and texts are lower-cased.
+rows. Repeated documents are each answered. Case does not count: sample and texts are lower-cased. A letter is a character of
+a letter category (digits, number signs and fractions are none). A very long text is compressed block by block; an empty
+table gives no rows; columns of docs are kept, and the result's column takes another name if docs has that one.
 """
 
 import math
-import re
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from skiff.llm.common import crc_mod, fresh, row_function, table, utf8
 PIECE, DICT_BYTES, SAMPLE_BYTES = 400, 128 << 10, 32 << 20
 BLOCK, LEVEL, MIN_MATCH, MARGIN, TEMPERATURE = 2048, 3, 3, 0.01, 64.0
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:

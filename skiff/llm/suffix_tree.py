@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
-from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, may_hold, stored, table, utf8, word_keys
+from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, give_back, may_hold, stored, table, utf8, word_keys
 
 #: Entries that are broadcast at most, at 24 bytes each.
 NEAR = 3_000_000
@@ -135,6 +135,7 @@ def _held(start):
                     size = 0
             if size:
                 yield from flush()
+            give_back()
 
         return work
 

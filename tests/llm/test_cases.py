@@ -46,8 +46,8 @@ def test_decontaminate_in_parts(spark, docs, monkeypatch):
     b = spark.createDataFrame([(i, f"w{i} a b c d e f g h i j k") for i in range(40)], "item_id long, text string")
     d = spark.createDataFrame([(i, f"x w{i} a b c d e f g h i j k y") for i in range(40)], "doc_id long, text string")
     want = sorted(map(repr, decontaminate.mark(d, b)[0].collect()))
-    for name, n in (("MACHINE_BYTES", 100), ("BROADCAST_BYTES", 300)):
-        monkeypatch.setattr(decontaminate, name, n)
+    for n in (3000, 300, 100):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", n)
         assert sorted(map(repr, decontaminate.mark(d, b)[0].collect())) == want
 
 
@@ -57,8 +57,29 @@ def test_wu_manber_finds_all():
         words = [r.choice([b"a", b"b", b"c"]) for _ in range(60)]
         m = r.randrange(1, 6)
         windows = {tuple(r.choice([b"a", b"b", b"c"]) for _ in range(m)) for _ in range(4)}
-        want = [(i, tuple(words[i : i + m])) for i in range(61 - m) if tuple(words[i : i + m]) in windows]
-        assert list(decontaminate.WuManber(windows).find(words)) == want
+        want = [i for i in range(61 - m) if tuple(words[i : i + m]) in windows]
+        flat = np.array([w[0] for t in windows for w in t])
+        machine = decontaminate.WuManber(flat, np.arange(0, len(flat), m), m)
+        found = list(machine.find([w[0] if w != b"c" or r.random() < 2 else -1 for w in words]))
+        assert [i for i, _ in found] == want and all(tuple(flat[p : p + m]) == tuple(w[0] for w in words[i : i + m]) for i, p in found)
+
+
+def test_machines_are_built_once_a_worker(spark, monkeypatch):
+    """Time per document does not depend on how many items there are: 30,000 items, the same texts."""
+    import time
+
+    items = [(str(i), f"i{i} a{i % 7} b c d{i % 3} e f g h i j k".encode()) for i in range(30000)]
+    small, large = decontaminate.Searcher(items[:300]), decontaminate.Searcher(items)
+    words = [decontaminate.words_of(f"x y z i{i} a{i % 7} b c d{i % 3} e f g h i j k plain words follow here".encode()) for i in range(300)]
+    took = []
+    for searcher in (small, large):
+        began = time.perf_counter()
+        found = [searcher.find(w) for w in words]
+        took.append(time.perf_counter() - began)
+        assert all(str(i) in f[1] and f[0][0] == (3, 13) for i, f in enumerate(found))
+    b = spark.sparkContext.broadcast(items[:3])
+    assert decontaminate.built("a", b) is decontaminate.built("a", b)
+    assert took[1] < 20 * took[0] + 0.5
 
 
 def test_secrets(docs, empty):
