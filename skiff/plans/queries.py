@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skiff.functions import scalars as S
 from skiff.operators import blobs, kv, oplog
+from skiff.operators.store import shared_dir
 from skiff.plans import views as V
 from skiff.sources import http, multipart, resp
 
@@ -72,25 +73,16 @@ def _deletes(spark, sf_dir):
 
 
 def _blob_write(spark, sf_dir):
-    root = f"{_folder(spark)}/blobs-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/blobs-{uuid.uuid4().hex}"
     d = V.table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "doc_id")
     for k in (0, 1):  # the second write finds what the first has stored
         blobs.write(blobs.from_contents(d if k else d.where("doc_id % 2 = 0")), root)
     return blobs.read(spark, root).select("file_hash", "shard", F.octet_length("content").cast("bigint").alias("size"))
 
 
-def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="skiff-")
-    return found.rstrip("/")
-
-
 def _catalog_stored(spark, sf_dir):
     """The listing of a catalog that was written in key order and opened again."""
-    root = f"{_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
     V.catalog(spark, sf_dir).write(root)
     from skiff.operators.catalog import Catalog
 
@@ -103,7 +95,7 @@ def _stream(decoder, schema, chunks):
     def query(spark, sf_dir):
         from skiff.streaming import decoders
 
-        root = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+        root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
         chunks(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(f"{root}/in")
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", decoders.STORE)
         made = decoders.decode_stream(decoders.read_chunks(spark, f"{root}/in", 100), decoder, schema)
@@ -131,9 +123,41 @@ def _values(xs):
     return ", ".join(f"('{x}')" if isinstance(x, str) else f"({x})" for x in xs)
 
 
-def _replay(spark, sf_dir):
-    log = V.op_log(spark, sf_dir, "any").withColumn("space", F.col("path"))
-    return oplog.refs_after_replay(oplog.replay(log, "space"))
+def _replay(moves):
+    return lambda spark, sf_dir: oplog.refs_after_replay(oplog.replay(V.op_log(spark, sf_dir, moves)))
+
+
+def _replay_sql(hashes: bool) -> str:
+    """The log in order, one step an operation: the hash that each user's name holds, and each hash's references."""
+    gone = "WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'remove_hash'" if hashes else ""
+    return f"""WITH RECURSIVE h AS (SELECT props, row_number() OVER (ORDER BY props) AS x, sha256(props) AS file_hash FROM (SELECT DISTINCT props FROM events)),
+    o AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, user_id + 1 AS u, event_id * 7 % 150 + 1 AS t, x,
+      CASE WHEN event_type IN ('error', 'signup') THEN 'remove' WHEN event_type = 'click' THEN 'move' {gone} ELSE 'save' END AS op FROM events JOIN h USING (props)),
+    r AS (SELECT CAST(0 AS BIGINT) AS rn, list_transform(range(0, (SELECT greatest(max(user_id), 149) + 1 FROM events)), lambda v: CAST(0 AS BIGINT)) AS p, list_transform(range(0, (SELECT count(*) FROM h)), lambda v: CAST(0 AS BIGINT)) AS c
+      UNION ALL SELECT o.rn,
+        CASE WHEN op = 'save' THEN list_transform(p, lambda v, i: CASE WHEN i = u THEN x ELSE v END)
+             WHEN op = 'move' AND p[u] > 0 THEN list_transform(p, lambda v, i: CASE WHEN i = t THEN p[u] WHEN i = u THEN 0 ELSE v END)
+             WHEN op = 'remove' AND p[u] > 0 AND c[p[u]] > 0 THEN list_transform(p, lambda v, i: CASE WHEN i = u THEN 0 ELSE v END) ELSE p END,
+        CASE WHEN op = 'save' THEN list_transform(c, lambda v, i: CASE WHEN i = x THEN v + 1 ELSE v END)
+             WHEN op = 'remove_hash' THEN list_transform(c, lambda v, i: CASE WHEN i = x THEN 0 ELSE v END)
+             WHEN op = 'remove' AND p[u] > 0 AND c[p[u]] > 0 THEN list_transform(c, lambda v, i: CASE WHEN i = p[u] THEN v - 1 ELSE v END) ELSE c END
+      FROM r JOIN o ON o.rn = r.rn + 1),
+    e AS (SELECT p, c FROM r ORDER BY rn DESC LIMIT 1),
+    live AS (SELECT v AS x, count(*) AS n FROM (SELECT unnest(p) AS v FROM e) WHERE v > 0 GROUP BY v)
+    SELECT file_hash, CAST((SELECT c FROM e)[x] AS BIGINT) AS ref_count, coalesce(n, 0) AS live_refs FROM h LEFT JOIN live USING (x) WHERE (SELECT c FROM e)[x] > 0 OR n > 0"""
+
+
+# (op, path, name, new_path, new_name, hash): a move and then a remove, moves onto entries and onto themselves, remove_hash before a remove
+_EDGE_OPS = [
+    ("save", "/", "a", None, None, "x"), ("move", "/", "a", "/d", "b", None), ("remove", "/d/", "b", None, None, None), ("save", "/", "c", None, None, "x"), ("save", "/", "e", None, None, "y"),
+    ("move", "/", "c", "/", "e", None), ("move", "/", "e", "/", "", None), ("move", "/", "none", "/", "f", None), ("save", "/", "g", None, None, "z"), ("remove_hash", None, None, None, None, "z"),
+    ("remove", "/", "g", None, None, None), ("save", "/", "h", None, None, "z"), ("remove", "/", "h", None, None, None), ("save", "/", "k", None, None, "z"),
+]
+
+
+def _edge_log(spark):
+    rows = [(i, op, p, n, np, nn, h, None if h is None else i, f"t{i}", DAY, "") for i, (op, p, n, np, nn, h) in enumerate(_EDGE_OPS)]
+    return spark.createDataFrame(rows, oplog.LOG_SCHEMA)
 
 
 def _kv_log(spark, sf_dir):
@@ -249,7 +273,16 @@ QUERIES = {
         lambda s, d: oplog.path_index(V.op_log(s, d, "fresh")).select("key", "file_hash", "seq"),
         f"WITH {_MOVES} SELECT 'p:/u/' || k AS key, h AS file_hash, seq FROM l WHERE nx IS NULL AND op = 'save' UNION ALL SELECT 'p:/u/' || k || '#' || seq, ph, seq FROM l WHERE op = 'move' AND po = 'save'",
     ),
-    "oplog_moves_general": (_replay, None),
+    "oplog_moves_general": (_replay("any"), _replay_sql(False)),
+    "oplog_remove_hash": (_replay("hash"), _replay_sql(True)),
+    "oplog_edge_paths": (
+        lambda s, d: oplog.path_index(_edge_log(s)).select("key", "file_hash", "seq"),
+        "SELECT * FROM (VALUES ('p:/e', 'x', CAST(6 AS BIGINT)), ('p:/g', 'z', 8), ('p:/k', 'z', 13)) AS t(key, file_hash, seq)",
+    ),
+    "oplog_edge_hashes": (
+        lambda s, d: oplog.phys_index(_edge_log(s)),
+        "SELECT * FROM (VALUES ('x', CAST(3 AS BIGINT), 't3', CAST(1 AS INTEGER)), ('y', 4, 't4', 1), ('z', 13, 't13', 1)) AS t(file_hash, file_size, content_type, ref_count)",
+    ),
     "check_moves": (_moves, f"WITH {_F} SELECT index_key, file_path AS old_path, file_name AS old_name, CASE WHEN file_size % 2 = 0 THEN '/new/' ELSE '' END AS new_path, file_name AS new_name, CAST(CASE WHEN file_size % 2 = 0 THEN 200 ELSE 400 END AS INTEGER) AS status FROM f"),
     "check_deletes": (_deletes, f"WITH {_F} SELECT index_key, file_path AS path, CASE WHEN file_size % 2 = 0 THEN file_name ELSE '' END AS name, CAST(CASE WHEN file_size % 2 = 0 THEN 200 ELSE 400 END AS INTEGER) AS status FROM f"),
     "kv_state": (lambda s, d: kv.state(_kv_log(s, d)), "SELECT CAST(user_id AS VARCHAR) AS k, CAST(max(event_id) AS VARCHAR) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1"),

@@ -36,13 +36,14 @@ def catalog(spark, sf_dir: str) -> Catalog:
 
 def op_log(spark, sf_dir: str, moves: str | None = None) -> DataFrame:
     """events as operations: error and signup remove, the others save; key user_id, content props. moves: fresh (click moves
-    to a name of its own) or any (click moves to another user's name)."""
+    to a name of its own), any (click moves to another user's name) or hash (as any; every fifth number, if a purchase, is remove_hash of its own props)."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    op = F.when(F.col("event_type").isin("error", "signup"), "remove").when(F.lit(bool(moves)) & (F.col("event_type") == "click"), "move").otherwise("save")
+    op = F.when(F.col("event_type").isin("error", "signup"), "remove").when(F.lit(bool(moves)) & (F.col("event_type") == "click"), "move")
+    op = op.when(F.lit(moves == "hash") & (F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 0), "remove_hash").otherwise("save")
     user = F.col("user_id").cast("string")
     to = F.concat(user, F.lit("#"), F.col("event_id").cast("string")) if moves == "fresh" else (F.col("event_id") * 7 % 150).cast("string")
     return e.select(
-        F.col("event_id").alias("seq"), op.alias("op"), F.lit("/u/").alias("path"), user.alias("name"), F.lit("/u/").alias("new_path"), to.alias("new_name"), F.when(op == "save", S.content_hash("props")).alias("file_hash"),
+        F.col("event_id").alias("seq"), op.alias("op"), F.lit("/u/").alias("path"), user.alias("name"), F.lit("/u/").alias("new_path"), to.alias("new_name"), F.when(op.isin("save", "remove_hash"), S.content_hash("props")).alias("file_hash"),
         F.octet_length("props").cast("bigint").alias("file_size"), F.lit("application/json").alias("content_type"), F.lit("2024-01-01").alias("file_time"), F.lit("").alias("file_author"),
     )
 

@@ -54,7 +54,8 @@ def ops(seed, moves=False, drops=False):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_window_fold_is_replay(spark, seed):
+def test_window_fold_is_replay(spark, seed, monkeypatch):
+    monkeypatch.setattr(oplog, "BLOCK", 7 if seed else 1 << 20)
     log, state = ops(seed), oplog.State()
     for seq, op, p, n, np, nn, h, size, t, *_ in log:
         state.apply(op, "p:" + p + n, "p:" + np + nn, h, size, t)
@@ -65,6 +66,26 @@ def test_window_fold_is_replay(spark, seed):
     assert {r.file_hash: r.ref_count for r in oplog.ref_counts(df).collect()} == {k: v[2] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("seed", range(4, 8))
+def test_any_log_folds_as_replay(spark, seed, monkeypatch):
+    """Moves and remove_hash: the folds find which keys to keep together; blocks of a few operations."""
+    monkeypatch.setattr(oplog, "BLOCK", 7)
+    log, state = ops(seed, True, seed % 2 == 1), oplog.State()
+    for seq, op, p, n, np, nn, h, size, t, *_ in log:
+        state.apply(op, "p:" + p + n, "p:" + np + nn, h, size, t, seq)
+    df = spark.createDataFrame(log, oplog.LOG_SCHEMA)
+    assert {r.key: (r.file_hash, r.seq) for r in oplog.path_index(df).collect()} == {k: (v["file_hash"], v["seq"]) for k, v in state.paths.items()}
+    want = {k: (v["file_size"], v["content_type"], v["ref_count"]) for k, v in state.phys.items()}
+    assert {r.file_hash: (r.file_size, r.content_type, r.ref_count) for r in oplog.phys_index(df).collect()} == want
+    assert {r.file_hash: r.ref_count for r in oplog.ref_counts(df).collect()} == {k: v[2] for k, v in want.items()}
+
+
+def test_move_then_remove(spark):
+    rows = [(1, "save", "/", "a", None, None, "x", 1, "t", "", ""), (2, "move", "/", "a", "/", "b", None, None, None, "", ""), (3, "remove", "/", "b", None, None, None, None, None, "", "")]
+    df = spark.createDataFrame(rows, oplog.LOG_SCHEMA)
+    assert not oplog.path_index(df).count() and not oplog.ref_counts(df).count() and not oplog.phys_index(df).count()
+
+
 def test_general_replay(spark):
     log, state = ops(9, True, True), oplog.State()
     for seq, op, p, n, np, nn, h, size, t, *_ in log:
