@@ -32,6 +32,10 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def text(x: Column | str) -> Column:
+    return F.coalesce(col(x), F.lit(""))
+
+
 def lookup(key: Column, values: dict, default) -> Column:
     pairs = F.create_map(*(F.lit(v) for kv in values.items() for v in kv))
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
@@ -39,22 +43,22 @@ def lookup(key: Column, values: dict, default) -> Column:
 
 def normalize_path(s: Column | str) -> Column:
     """A leading and a trailing slash, single slashes between; dots stay as they are."""
-    single = F.regexp_replace(F.concat(F.lit("/"), col(s)), "/+", "/")
+    single = F.regexp_replace(F.concat(F.lit("/"), text(s)), "/+", "/")
     return F.concat(F.regexp_replace(single, "/$", ""), F.lit("/"))
 
 
 def index_key(path: Column | str, name: Column | str) -> Column:
-    return F.concat(F.lit("p:"), normalize_path(path), col(name))
+    return F.concat(F.lit("p:"), normalize_path(path), text(name))
 
 
 def url_decode(s: Column | str) -> Column:
     """Percent escapes and plus signs; what is not an escape stays."""
-    return F.try_url_decode(F.regexp_replace(col(s), "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.try_url_decode(F.regexp_replace(text(s), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def url_encode(s: Column | str) -> Column:
     """As browsers encode a query component."""
-    out = F.url_encode(col(s))
+    out = F.url_encode(text(s))
     for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -62,11 +66,11 @@ def url_encode(s: Column | str) -> Column:
 
 def query_param(q: Column | str, key: str, anchored: bool = True) -> Column:
     """The value of key; anchored: names are compared whole, otherwise the first place that ends in key= counts."""
-    return F.regexp_extract(col(q), ("(?:^|&)" if anchored else "") + key + "=([^&]*)", 1)
+    return F.regexp_extract(text(q), ("(?:^|&)" if anchored else "") + key + "=([^&]*)", 1)
 
 
 def escape_json(s: Column | str) -> Column:
-    out = col(s)
+    out = text(s)
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -74,10 +78,14 @@ def escape_json(s: Column | str) -> Column:
 
 def unescape_json(s: Column | str) -> Column:
     """Inverse of escape_json; an unknown escape stands for its letter, a lone last backslash for itself."""
-    out = F.regexp_replace(col(s), r"\\([^nrt])", "\u0001$1\u0002")
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, "\u0001(?s)(.)\u0002", "$1")
+    # what lies between double backslashes has single ones only
+
+    def plain(part: Column) -> Column:
+        for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+            part = F.replace(part, F.lit(a), F.lit(b))
+        return F.regexp_replace(part, r"(?s)\\(.)", "$1")
+
+    return F.array_join(F.transform(F.split(text(s), r"\\\\"), plain), "\\")
 
 
 def json_text(j: Column | str, field: str) -> Column:
@@ -89,7 +97,7 @@ def json_number(j: Column | str, field: str) -> Column:
 
 
 def extension(name: Column | str) -> Column:
-    return F.when(F.instr(col(name), ".") > 0, F.lower(F.substring_index(col(name), ".", -1))).otherwise("")
+    return F.when(F.instr(text(name), ".") > 0, F.lower(F.substring_index(col(name), ".", -1))).otherwise("")
 
 
 def mime_type(name: Column | str, profile: str = "live") -> Column:
@@ -121,20 +129,20 @@ def format_size(n: Column | str) -> Column:
 
 
 def escape_html(s: Column | str) -> Column:
-    out = col(s)
+    out = text(s)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
 def download_url(file_hash: Column | str, path: Column | str, name: Column | str, force: bool = False) -> Column:
-    path = F.when(col(path) == "", "/").otherwise(col(path))
-    return F.concat(F.lit("/api/files/"), col(file_hash), F.lit("/download?path="), url_encode(path), F.lit("&name="), url_encode(name), F.lit("&dl=1" if force else ""))
+    path = F.when(text(path) == "", "/").otherwise(text(path))
+    return F.concat(F.lit("/api/files/"), text(file_hash), F.lit("/download?path="), url_encode(path), F.lit("&name="), url_encode(name), F.lit("&dl=1" if force else ""))
 
 
 def breadcrumbs(path: Column | str) -> Column:
     """The directories on the way to path, each a struct of its name and its normalized path."""
-    parts = F.filter(F.split(col(path), "/"), lambda x: x != "")
+    parts = F.filter(F.split(text(path), "/"), lambda x: x != "")
     return F.transform(parts, lambda x, i: F.struct(x.alias("name"), F.concat(F.lit("/"), F.concat_ws("/", F.slice(parts, F.lit(1), i + 1)), F.lit("/")).alias("path")))
 
 

@@ -24,7 +24,7 @@ def get(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def replies(log: DataFrame) -> DataFrame:
-    """(seq, reply): what each command is answered, in the wire format; a log with an optional column conn keeps one state."""
+    """(seq, reply): what each command is answered, in the wire format. All connections share one state, in order of seq."""
     c = _command(log).where("n > 0")
     key = F.when(F.col("cmd").isin("SET", "GET"), F.try_element_at("args", F.lit(2)))
     value = F.when((F.col("cmd") == "SET") & (F.col("n") == 3), F.try_element_at("args", F.lit(3)))

@@ -224,12 +224,12 @@ def _sought(requests: DataFrame, path: str, name: str, index: DataFrame) -> Data
 
 def upload_counts(parts: DataFrame) -> DataFrame:
     """(conn_id, request, stored): how many parts each upload request stored; parts without a file name are not stored."""
-    return parts.groupBy("conn_id", "request").agg(F.count_if("error is null and filename <> ''").alias("stored"))
+    return parts.groupBy("conn_id", "request").agg(F.count_if(F.expr("error is null and filename <> ''")).alias("stored"))
 
 
 def tally(results: DataFrame) -> DataFrame:
     """(succeeded, failed) over results with a status; below 400 is a success."""
-    return results.agg(F.count_if("status < 400").alias("succeeded"), F.count_if("status >= 400").alias("failed"))
+    return results.agg(F.count_if(F.col("status") < 400).alias("succeeded"), F.count_if(F.col("status") >= 400).alias("failed"))
 
 
 def uploads(parts: DataFrame, date: str) -> DataFrame:

@@ -168,6 +168,48 @@ def _kv_log(spark, sf_dir):
     return e.select(F.col("event_id").alias("seq"), args.alias("args"))
 
 
+_HTTP_SQL = rf"""SELECT page_id AS conn_id, CAST(0 AS BIGINT) AS n, {_VERB} AS method, split_part({_URLP}, '?', 1) AS path, split_part({_URLP}, '?', 2) AS query, 'HTTP/1.1' AS version, regexp_extract(url, '^https?://([^/]*)', 1) AS host,
+        CAST(strlen('id=' || page_id) AS BIGINT) AS length, 'id=' || page_id AS body, {_ALIVE} <> 'Close' AS alive, CAST(NULL AS VARCHAR) AS error FROM pages"""
+_RESP_SQL = """SELECT user_id AS conn_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, 'SET ' || user_id || ' ' || event_id AS args,
+  CAST(NULL AS VARCHAR) AS error FROM events"""
+
+
+def _http_columns(rows):
+    h = F.col("headers")
+    return rows.select(
+        "conn_id", "n", "method", "path", "query", "version", h["host"].alias("host"), S.content_length(h["content-length"]).alias("length"), F.decode("body", "UTF-8").alias("body"),
+        S.keep_alive(h["connection"], "version").alias("alive"), "error",
+    )
+
+
+def _resp_columns(rows):
+    return rows.select("conn_id", "n", F.concat_ws(" ", "args").alias("args"), "error")
+
+
+def _upload_parts(spark, sf_dir):
+    """The parts of HTTP uploads, with the directory that their request names."""
+    asked = http.requests(V.upload_chunks(spark, sf_dir))
+    path = asked.select("conn_id", F.col("n").alias("request"), S.url_decode(S.query_param("query", "path")).alias("path"))
+    return multipart.parts_of_requests(asked).join(path, ["conn_id", "request"])
+
+
+def _numbered(spark, sf_dir):
+    f = V.files(spark, sf_dir).select("file_path", "file_name")
+    return f.withColumn("id", F.regexp_extract("file_name", r"_(\d+)", 1).cast("bigint"))
+
+
+def _delete_requests(spark, sf_dir):
+    """Of an entry, of one that is not there, and without a name."""
+    name = F.when(F.col("id") % 3 == 0, F.col("file_name")).when(F.col("id") % 3 == 1, "gone").otherwise("")
+    return _numbered(spark, sf_dir).select("id", F.concat(F.lit("path="), S.url_encode("file_path"), F.lit("&name="), name).alias("query"))
+
+
+def _move_requests(spark, sf_dir):
+    name = F.when(F.col("id") % 3 == 1, "gone").otherwise(F.col("file_name"))
+    body = F.to_json(F.struct(F.col("file_path").alias("old_path"), name.alias("old_name"), F.when(F.col("id") % 3 == 2, "").otherwise("/new").alias("new_path")))
+    return _numbered(spark, sf_dir).select("id", body.alias("body"))
+
+
 QUERIES = {
     "list_by_path": (lambda s, d: V.catalog(s, d).list_by_path(PATH), f"WITH {_F} SELECT {_COLS} FROM f WHERE file_path = '{PATH}'"),
     "catalog_write_open": (_catalog_stored, f"WITH {_F} SELECT {_COLS} FROM f WHERE file_path = '{PATH}'"),
@@ -227,9 +269,8 @@ QUERIES = {
     ),
     "url_decode": (lambda s, d: _pages(s, d).select("page_id", S.url_decode(S.url_encode("url")).alias("url"), S.url_encode("url").alias("encoded")), "SELECT page_id, url_decode(url_encode(url)) AS url, url_encode(url) AS encoded FROM pages"),
     "http_requests": (
-        lambda s, d: _requests(s, d).select("conn_id", "n", "method", "path", "query", "version", F.col("headers")["host"].alias("host"), S.content_length(F.col("headers")["content-length"]).alias("length"), F.decode("body", "UTF-8").alias("body"), S.keep_alive(F.col("headers")["connection"], "version").alias("alive"), "error"),
-        rf"""SELECT page_id AS conn_id, CAST(0 AS BIGINT) AS n, {_VERB} AS method, split_part({_URLP}, '?', 1) AS path, split_part({_URLP}, '?', 2) AS query, 'HTTP/1.1' AS version, regexp_extract(url, '^https?://([^/]*)', 1) AS host,
-        CAST(strlen('id=' || page_id) AS BIGINT) AS length, 'id=' || page_id AS body, {_ALIVE} <> 'Close' AS alive, CAST(NULL AS VARCHAR) AS error FROM pages""",
+        lambda s, d: _http_columns(_requests(s, d)),
+        _HTTP_SQL,
     ),
     "route_dispatch": (
         _routes,
@@ -292,8 +333,8 @@ QUERIES = {
         SELECT event_id AS seq, CASE event_type WHEN 'click' THEN coalesce('$' || strlen(old) || chr(13) || chr(10) || old, '$-1') WHEN 'error' THEN '+PONG' WHEN 'signup' THEN '-ERR unknown command ''Set''' WHEN 'view' THEN '-ERR wrong number of arguments for ''set'' command' ELSE '+OK' END || chr(13) || chr(10) AS reply FROM e""",
     ),
     "resp_decode": (
-        lambda s, d: resp.commands(V.resp_chunks(s, d)).select("conn_id", "n", F.concat_ws(" ", "args").alias("args"), "error"),
-        "SELECT user_id AS conn_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, 'SET ' || user_id || ' ' || event_id AS args, CAST(NULL AS VARCHAR) AS error FROM events",
+        lambda s, d: _resp_columns(resp.commands(V.resp_chunks(s, d))),
+        _RESP_SQL,
     ),
     "multipart_decode": (
         lambda s, d: multipart.parts(V.multipart_chunks(s, d), V.BOUNDARY).select("conn_id", "n", "filename", "content_type", S.content_hash("data").alias("h"), "error"),
@@ -311,11 +352,51 @@ QUERIES = {
         lambda s, d: V.files(s, d).select("index_key", S.download_url("file_hash", "file_path", "file_name", True).alias("url")).select("index_key", "url", S.url_hash("url").alias("h")),
         f"WITH {_F} SELECT index_key, '/api/files/' || file_hash || '/download?path=' || replace(file_path, '/', '%2F') || '&name=' || file_name || '&dl=1' AS url, file_hash AS h FROM f",
     ),
-    "stream_resp": (
-        _stream(resp.Decoder, resp.SCHEMA, V.resp_chunks),
-        None,
+    "stream_resp": (lambda s, d: _resp_columns(_stream(resp.Decoder, resp.SCHEMA, V.resp_chunks)(s, d)), _RESP_SQL),
+    "stream_http": (lambda s, d: _http_columns(_stream(http.Decoder, http.SCHEMA, V.http_chunks)(s, d)), _HTTP_SQL),
+    "http_body_digest": (
+        lambda s, d: http.digests(V.http_chunks(s, d)).select("conn_id", "n", "method", "size", "sha256"),
+        f"SELECT page_id AS conn_id, CAST(0 AS BIGINT) AS n, {_VERB} AS method, CAST(strlen('id=' || page_id) AS BIGINT) AS size, sha256('id=' || page_id) AS sha256 FROM pages",
+    ),
+    "http_malformed": (
+        lambda s, d: http.requests(V.bad_chunks(s, d, "http")).select("conn_id", "n", "path", "error"),
+        """SELECT page_id AS conn_id, CAST(0 AS BIGINT) AS n, '/a' AS path, CAST(NULL AS VARCHAR) AS error FROM pages
+        UNION ALL SELECT page_id, 1, NULL, ['malformed request line', 'malformed request line', 'header without a colon'][page_id % 3 + 1] FROM pages""",
+    ),
+    "resp_malformed": (
+        lambda s, d: _resp_columns(resp.commands(V.bad_chunks(s, d, "resp"))),
+        """SELECT page_id AS conn_id, CAST(0 AS BIGINT) AS n, 'PING' AS args, CAST(NULL AS VARCHAR) AS error FROM pages
+        UNION ALL SELECT page_id, 1, '', ['ERR unknown protocol', 'ERR protocol error: invalid array length', 'ERR protocol error: invalid bulk string length'][page_id % 3 + 1] FROM pages""",
+    ),
+    "upload_http": (
+        lambda s, d: oplog.uploads(_upload_parts(s, d), DAY),
+        f"SELECT 'save' AS op, '/up/' || lang || '/' AS path, 'doc_' || doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS file_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS file_size, 'text/plain' AS content_type, '{DAY}' AS file_time, '' AS file_author FROM documents",
+    ),
+    "upload_counts": (lambda s, d: oplog.upload_counts(_upload_parts(s, d)), "SELECT doc_id AS conn_id, CAST(0 AS BIGINT) AS request, CAST(1 AS BIGINT) AS stored FROM documents"),
+    "delete_statuses": (
+        lambda s, d: oplog.check_deletes(_delete_requests(s, d), V.files(s, d)).select("id", "status"),
+        "SELECT doc_id AS id, CAST([200, 404, 400][doc_id % 3 + 1] AS INTEGER) AS status FROM documents",
+    ),
+    "move_statuses": (
+        lambda s, d: oplog.check_moves(_move_requests(s, d), V.files(s, d)).select("id", "new_name", "status"),
+        f"WITH {_F} SELECT doc_id AS id, CASE WHEN doc_id % 3 = 1 THEN 'gone' ELSE file_name END AS new_name, CAST([200, 404, 400][doc_id % 3 + 1] AS INTEGER) AS status FROM f",
+    ),
+    "delete_tally": (
+        lambda s, d: oplog.tally(oplog.check_deletes(_delete_requests(s, d), V.files(s, d))),
+        "SELECT count(*) FILTER (doc_id % 3 = 0) AS succeeded, count(*) FILTER (doc_id % 3 <> 0) AS failed FROM documents",
+    ),
+    "list_root_files": (
+        lambda s, d: V.rooted(s, d).list_all(),
+        f"WITH {_F} SELECT 'p:/' || file_name AS index_key, file_name, file_hash, '/' AS file_path, file_author, file_time, file_size, content_type FROM f WHERE doc_id % 10 = 0",
+    ),
+    "http_responses": (
+        lambda s, d: V.table(s, d, "pages").select("page_id", F.decode(http.response(F.lit(200) + F.col("page_id") % 2 * 204, F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Zone"), F.col("url")), F.coalesce("html", F.lit(""))), "UTF-8").alias("bytes")),
+        r"""SELECT page_id, replace('HTTP/1.1 ' || ['200 OK', '404 Not Found'][page_id % 2 + 1] || '~Content-Length: ' || strlen(coalesce(html, '')) || '~Content-Type: text/html~Zone: ', '~', chr(13) || chr(10)) || url || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS bytes FROM pages""",
+    ),
+    "boundary_and_day": (
+        lambda s, d: V.table(s, d, "events").select("event_id", S.boundary(F.concat(F.lit('multipart/form-data; boundary="b'), F.col("user_id").cast("string"), F.lit('"; charset=x'))).alias("boundary"), S.day("ts").alias("day")),
+        "SELECT event_id, 'b' || user_id AS boundary, strftime(ts, '%Y-%m-%d') AS day FROM events",
     ),
-    "stream_http": (_stream(http.Decoder, http.SCHEMA, V.http_chunks), None),
 }
 
 

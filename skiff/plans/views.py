@@ -80,3 +80,36 @@ def multipart_chunks(spark, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit(f'--{BOUNDARY}\r\nContent-Disposition: form-data; name="file"; filename="doc_'), F.col("doc_id").cast("string"), F.lit('.txt"\r\nContent-Type: text/plain\r\n\r\n'), "text", F.lit(f"\r\n--{BOUNDARY}--\r\n")).cast("binary")
     n = F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 1000).cast("int"))
     return d.select("doc_id", body.alias("b")).select(F.col("doc_id").alias("conn_id"), "b", F.explode(n).alias("k")).select("conn_id", F.col("k").cast("bigint").alias("seq"), F.substring(F.col("b"), F.col("k") * 1000 + 1, F.lit(1000)).alias("data"))
+
+
+def upload_chunks(spark, sf_dir: str) -> DataFrame:
+    """An HTTP upload of each document's text as a file to /up/lang, with a second part that has no file name, in chunks of 900 bytes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    number = F.col("doc_id").cast("string")
+    body = F.concat(
+        F.lit(f'--{BOUNDARY}\r\nContent-Disposition: form-data; name="file"; filename="doc_'), number, F.lit('.txt"\r\nContent-Type: text/plain\r\n\r\n'), F.coalesce("text", F.lit("")),
+        F.lit(f'\r\n--{BOUNDARY}\r\nContent-Disposition: form-data; name="note"\r\n\r\nx\r\n--{BOUNDARY}--\r\n'),
+    )
+    head = F.concat(F.lit("POST /api/files?path=%2Fup%2F"), "lang", F.lit(f" HTTP/1.1\r\nContent-Type: multipart/form-data; boundary={BOUNDARY}\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    n = F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 900).cast("int"))
+    whole = d.select(F.col("doc_id").alias("conn_id"), F.concat(head, body).cast("binary").alias("b"))
+    return whole.select("conn_id", "b", F.explode(n).alias("k")).select("conn_id", F.col("k").cast("bigint").alias("seq"), F.substring(F.col("b"), F.col("k") * 900 + 1, F.lit(900)).alias("data"))
+
+
+def bad_chunks(spark, sf_dir: str, kind: str) -> DataFrame:
+    """Streams that go wrong after one good message, a connection for each page, in two chunks: kind http or resp."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    good = {"http": "GET /a HTTP/1.1\r\n\r\n", "resp": "*1\r\n$4\r\nPING\r\n"}[kind]
+    bad = {"http": ["FOO / HTTP/1.1\r\n\r\n", "GET /\r\n\r\n", "GET / HTTP/1.1\r\nno colon\r\n\r\n"], "resp": ["hello\r\n", "*x\r\n", "*1\r\n$-1\r\n"]}[kind]
+    text = F.concat(F.lit(good), F.element_at(F.array(*map(F.lit, bad)), (F.col("page_id") % 3 + 1).cast("int")), F.lit(good)).cast("binary")
+    cut = (F.col("page_id") % 30 + 3).cast("int")
+    halves = p.select(F.col("page_id").alias("conn_id"), F.posexplode(F.array(F.substring(text, 1, cut), F.substring(text, cut + 1, 1 << 30))).alias("seq", "data"))
+    return halves.select("conn_id", F.col("seq").cast("bigint").alias("seq"), "data")
+
+
+def rooted(spark, sf_dir: str) -> Catalog:
+    """The catalog with every tenth document in the root directory."""
+    f = files(spark, sf_dir)
+    here = F.regexp_extract("file_name", r"_(\d+)", 1).cast("bigint") % 10 == 0
+    f = f.withColumn("file_path", F.when(here, "/").otherwise(F.col("file_path"))).withColumn("index_key", S.index_key("file_path", "file_name"))
+    return Catalog(f, phys(f))

@@ -1,7 +1,7 @@
 """RESP request arrays: `*N`, then N times `$length` and the bytes, each line ended by CRLF.
 
-Rows (n, args, error). An error drops everything that has come so far, as the protocol's server does; an unfinished command
-waits for more. A negative length is an error. Counts and lengths may have a numeric prefix; N of 0 or less is skipped."""
+Rows (n, args, error). An error ends its connection: what comes after it is not read, however the stream is chunked. An
+unfinished command waits for more. A negative length is an error. Counts and lengths may have a numeric prefix; N of 0 or less is skipped."""
 
 import re
 
@@ -19,24 +19,28 @@ _NUMBER = re.compile(rb"\s*([+-]?\d+)")
 
 
 class Decoder:
-    def __init__(self, rest: bytes = b"", n: int = 0):
-        self.rest, self.n = rest, n
+    def __init__(self, rest: bytes = b"", n: int = 0, dead: bool = False):
+        self.rest, self.n, self.dead = rest, n, dead
 
     def feed(self, data: bytes) -> list[tuple]:
+        if self.dead:
+            return []
         self.rest += data
-        out = []
-        while self.rest:
+        out, at = [], 0
+        while at < len(self.rest):
             try:
-                got = self._command()
+                got = self._command(at)
             except ValueError as e:
-                self.rest, got = b"", (0, None, str(e))
+                out.append((self.n, None, str(e)))
+                self.rest, self.dead = b"", True
+                return out
             if got is None:
                 break
-            used, args, error = got
-            self.rest = self.rest[used:]
-            if args or error:
-                out.append((self.n, args, error))
+            at, args = got
+            if args:
+                out.append((self.n, args, None))
                 self.n += 1
+        self.rest = self.rest[at:]
         return out
 
     def finish(self) -> list[tuple]:
@@ -54,8 +58,9 @@ class Decoder:
             raise ValueError(bad)
         return int(m[1]), end + 2
 
-    def _command(self) -> tuple[int, list[str], None] | None:
-        head = self._line(0, b"*", NOT_ARRAY, BAD_COUNT)
+    def _command(self, at: int) -> tuple[int, list[str]] | None:
+        """The place after the command that begins at a place, and its arguments."""
+        head = self._line(at, b"*", NOT_ARRAY, BAD_COUNT)
         if head is None:
             return None
         count, at = head
@@ -71,7 +76,7 @@ class Decoder:
                 return None
             args.append(self.rest[at : at + size].decode("utf-8", "replace"))
             at += size + 2
-        return at, args, None
+        return at, args
 
 
 def commands(chunks: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ def test_names_sizes_and_headers(spark):
     assert one(spark, [("12",), (" 7x",), ("abc",)], S.content_length) == [12, 7, 0]
     text = 'a"b\\c\nd\re\tf\x01'
     assert one(spark, [(text,)], lambda c: S.unescape_json(S.escape_json(c))) == [text]
-    assert one(spark, [("\\q\\",)], S.unescape_json) == ["q\\"]
+    assert one(spark, [("\\q\\",), ("\x01a\x02",), ("\\\\n\\\\\\n\\\x01",)], S.unescape_json) == ["q\\", "\x01a\x02", "\\n\\\n\x01"]
+    for f in (S.normalize_path, S.escape_json, S.unescape_json, S.url_decode, S.url_encode, S.extension, S.escape_html, lambda c: S.query_param(c, "x")):
+        assert one(spark, [(None,), ("",)], lambda c: f(c.cast("string")).isNotNull()) == [True, True]
 
 
 def ops(seed, moves=False, drops=False):
@@ -100,7 +102,7 @@ RESP = b"*3\r\n$3\r\nSET\r\n$1\r\nk\r\n$4\r\na\r\nb\r\n*1\r\n$4\r\nping\r\n"
 FORM = b'pre\r\n--B\r\nContent-Disposition: form-data; name="f"; filename="a.txt"\r\nCONTENT-TYPE: text/plain\r\n\r\nx\r\n--\r\n-By\r\n--B\r\nContent-Disposition: form-data; filename="e"\r\n\r\n\r\n--B--\r\nepilogue'
 
 
-@given(st.sampled_from([(resp.Decoder, RESP * 2), (http.Decoder, REQUEST * 3), (lambda: multipart.Decoder("B"), FORM)]), st.lists(st.integers(0, 400), max_size=8))
+@given(st.sampled_from([(resp.Decoder, RESP * 2), (resp.Decoder, RESP + b"*1\r\nx\r\n" + RESP), (resp.Decoder, RESP + b"*z\r\n" + RESP), (http.Decoder, REQUEST + b"GET / HTTP/1.1\r\nbad\r\n\r\n" + REQUEST), (http.Decoder, REQUEST * 3), (lambda: multipart.Decoder("B"), FORM)]), st.lists(st.integers(0, 400), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_chunks_do_not_matter(case, cuts):
     start, data = case
@@ -113,6 +115,19 @@ def test_chunks_do_not_matter(case, cuts):
     assert got + d.finish() == want and want
 
 
+def test_a_body_costs_its_length():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        d, began = http.Decoder(), time.perf_counter()
+        d.feed(b"POST / HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % (n * 1000))
+        rows = [r for _ in range(n) for r in d.feed(b"x" * 1000)]
+        took.append(time.perf_counter() - began)
+        assert len(rows) == 1 and len(rows[0][6]) == n * 1000
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_decoders_rows():
     assert multipart.parse(FORM, "B") == [(0, "a.txt", "text/plain", b"x\r\n--\r\n-By", None), (1, "e", "", b"", None)]
     assert multipart.parse(FORM[:60], "B")[-1][4] == "unfinished part"
@@ -153,7 +168,8 @@ def test_stream_is_batch(spark):
     for name, chunks, decoder, schema in (("stream_resp", V.resp_chunks, resp.Decoder, resp.SCHEMA), ("stream_http", V.http_chunks, http.Decoder, http.SCHEMA)):
         sf = "/root/testdata/sf0.001"
         show = lambda df: sorted(map(repr, df.drop("headers").collect()))
-        assert show(engine.queries()[name](spark, sf)) == show(decode(chunks(spark, sf), decoder, schema))
+        rows = decode(chunks(spark, sf), decoder, schema)
+        assert show(engine.queries()[name](spark, sf)) == show(engine._resp_columns(rows) if name == "stream_resp" else engine._http_columns(rows))
 
 
 def test_scan_is_pushed_down(spark):
