@@ -214,6 +214,42 @@ def test_warc(spark):
     assert all(warc.number_of(warc.record_id(n)) == n for n in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012345))
 
 
+def test_arc_files(spark, tmp_path):
+    """Hand-made ARC files of both versions, as crawlers wrote them."""
+    import gzip
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>caf\xe9</p>\n"
+    dns = b"20020308193200\nexample.org.\t600\tIN\tA\t192.0.2.7"
+    v1 = b"filedesc://IA-001.arc 0.0.0.0 20020308193200 text/plain 77\n1 0 InternetArchive\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    v1 = v1.replace(b" 77\n", b" %d\n" % (len(v1) - v1.index(b"\n") - 2))
+    v1 += b"dns:example.org 192.0.2.1 20020308193200 text/dns %d\n" % len(dns) + dns + b"\n"
+    v1 += b"http://example.org/a b 192.0.2.7 20020308193201 text/html %d\n" % len(page) + page + b"\n"
+    v1 += b"http://example.org/bare 192.0.2.7 20020308193202 text/plain 5\nhello\n"
+    body = b"2 0 Org\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    v2 = [b"filedesc://x.arc 0.0.0.0 20050101000000 text/plain 200 - - 0 x.arc %d\n" % len(body) + body + b"\n"]
+    v2.append(b"http://example.org/copy 192.0.2.7 20050101000001 text/html 200 abc - 99 x.arc %d\n" % len(page) + page + b"\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "old.arc").write_bytes(v1)
+    (tmp_path / "in" / "new.arc.gz").write_bytes(b"".join(map(gzip.compress, v2)))
+    (tmp_path / "in" / "notes.txt").write_bytes(b"no archive")
+    assert warc.read_arc(spark, str(tmp_path / "in")).count() == 6
+    got = warc.read_archives(spark, warc.convert_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))).collect()
+    kinds = sorted((r.type, r.target) for r in got)
+    response, revisit = ([r for r in got if r.type == t] for t in ("response", "revisit"))
+    assert len(response) == len(revisit) == 1 and {response[0].target, revisit[0].target} == {"http://example.org/a%20b", "http://example.org/copy"}
+    assert bytes(response[0].block) == page and response[0].digest == revisit[0].digest == warc.digest_of(b"<p>caf\xe9</p>\n")
+    assert [k for k in kinds if k[0] == "resource"] == [("resource", "dns:example.org"), ("resource", "http://example.org/bare")] and [k[0] for k in kinds].count("warcinfo") == 2
+    assert {bytes(r.block) for r in got if r.type == "resource"} == {dns, b"hello"} and len({r.id for r in got}) == 6
+
+
+def test_files_are_rolled_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    pages = spark.createDataFrame([(i, "u", "x" * (100 * i)) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, str(tmp_path / "w"), compression="none")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("*.txt")]
+    assert max(sizes) < 3000 + 4000 and len(sizes) > 10 and warc.read_archives(spark, path).count() == 30
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(6)
     words = [f"w{i}" for i in range(60)]
