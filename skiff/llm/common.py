@@ -2,6 +2,7 @@
 tables in the shared folder, splitting hot buckets, and connected components."""
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -66,6 +67,13 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are over: it does when the driver collects its garbage, which it may
+    not for long while executors' disks fill. For between large steps; it costs the driver about a second."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever file system it is in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,8 +14,8 @@ range. A first pass counts words, and grams by 40 bits of their keys; a second c
 
 Sizes: the tests are on counts, so words, states and kept symbols grow with the corpus. They are a table (key, n, value, word)
 of what each adds to a token's logarithm: a word its root's, a state its backoff weight, a kept symbol the rest. The NEAR most
-frequent of them are broadcast; a text asks the table for the others by an equi-join, which one bitmap of them (32 MB at
-most) keeps small. Neither changes a result.
+frequent of them are broadcast; groups of texts ask the table for the others, range by range, which one bitmap of them
+(32 MB at most) keeps small. Neither changes a result.
 
 Cases: a null text is empty: one token, the end. With no training text, N and V are 0. A text of unknown words has known
 probabilities from the root's share for unseen ones. Repeated documents are each answered (and each trained on). A very long
@@ -29,15 +29,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, give_back, may_hold, stored, table, utf8, word_keys
+from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, give_back, may_hold, release, stored, table, utf8, word_keys
 
-#: Entries that are broadcast at most, at 24 bytes each.
-NEAR = 3_000_000
+#: Groups whose sums a task holds (8 kB each); entries that are broadcast at most, at 24 bytes each; documents that ask for the others together (256 at most, as
+#: their places take a byte).
+SUMS, NEAR, GROUP = 8192, 200_000, 256
 ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 2, 3.0, 1.2, 0.5, 3
 #: Keys that a task counts before it hands them on, and bytes of text for one range of keys.
 HELD, RANGE_BYTES = 4_000_000, 4 << 20
@@ -73,13 +76,20 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.A
             yield b.column(0).slice(at, rows)
 
 
+_zstd: list = []
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted numbers, byte by byte from the highest: the first bytes of all, then the second ones. They compress well."""
-    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """Sorted numbers, byte by byte from the highest (the first bytes of all, then the second ones), compressed."""
+    if not _zstd:
+        _zstd.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _zstd[0].compress(np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(len(x), -1).T))
 
 
 def _numbers(planes: bytes, n: int, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(f">{kind}").ravel().astype(kind)
+    if not _zstd:
+        _zstd.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return np.ascontiguousarray(np.frombuffer(_zstd[1].decompress(planes), np.uint8).reshape(-1, n).T).view(f">{kind}").ravel().astype(kind)
 
 
 def _blocks(order: int, order_by: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -237,14 +247,18 @@ class Entries:
         by = np.argsort(keys)
         self.keys, self.values, self.word = keys[by], values[by], word[by]
         self.bits = max(1, len(keys).bit_length())
+        self.bitmap = np.zeros(1 << max(12, self.bits + 1), np.uint8)
+        low = self.keys & np.uint64(len(self.bitmap) * 8 - 1)
+        np.bitwise_or.at(self.bitmap, low >> np.uint64(3), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
         self.first = np.append(0, np.cumsum(np.bincount((self.keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits))).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places among keys that are found, and their places here."""
-        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        asked = np.flatnonzero(may_hold(self.bitmap, keys))
+        part = (keys[asked] >> np.uint64(64 - self.bits)).astype(np.int64)
         at, end = self.first[part], self.first[part + 1]
-        asked = np.flatnonzero(at < end)
-        at, end = at[asked], end[asked]
+        more = at < end
+        asked, at, end = asked[more], at[more], end[more]
         found = []
         while len(asked):
             here = self.keys[at] == keys[asked]
@@ -258,12 +272,13 @@ class Entries:
 
 
 class Tree:
-    """What is broadcast: the most frequent entries, a bitmap of the others, and the number of orders that have any."""
+    """What is broadcast: the most frequent entries, a bitmap of the others and the bits that tell their ranges, and the number of
+    orders that have any."""
 
     def __init__(self, total: int, kinds: int):
         self.total, self.unit, self.orders = total, total + 0.5 * (kinds + 1), 0
         self.near = Entries(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
-        self.far = np.zeros(1 << 12, np.uint8)
+        self.far, self.bits = np.zeros(1 << 12, np.uint8), 4
 
     def score(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """For each text: tokens, known ones, sums of log10 P in the root and in the longest state as far as known here; and the
@@ -277,8 +292,10 @@ class Tree:
             value[at[asked]] += self.near.values[found]
             if words:
                 base[at[asked]], known[at[asked]] = self.near.values[found], True
-            rest = may_hold(self.far, keys)
+            rest = np.ones(len(keys), bool)
             rest[asked] = False
+            rest = np.flatnonzero(rest)
+            rest = rest[may_hold(self.far, keys[rest])]
             where.append(at[rest])
             more.append(keys[rest])
 
@@ -347,6 +364,7 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
         known = grams.select("key", "n", "lp")
     whole = stored(reduce(DataFrame.unionByName, parts))
     discard(*tables)
+    release(spark)
     # the lowest power of two from which on at most NEAR entries occur as often
     room, least = NEAR, 1 << 62
     for power, n in sorted(((r[0], r[1]) for r in whole.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
@@ -358,39 +376,134 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     tree.near = Entries(near["key"].to_numpy().view(np.uint64), near["value"].to_numpy(), near["word"].to_numpy())
     far = whole.where(F.col("n") < least).select("key", "value", "word")
     tree.far = bitmap(far)
+    tree.bits = max(4, (far.count() >> 16).bit_length())
     return tree, far
 
 
+def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: the ranges of their first bits that occur, and where each begins (one more at the end)."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    return part[cut[:-1]], cut
+
+
 def score(docs: DataFrame, model: tuple[Tree, DataFrame], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """(id_col, the extra columns, n_tokens, n_known, base_score, score): one row for each row of docs."""
+    """(id_col, the extra columns, n_tokens, n_known, base_score, score): one row for each row of docs.
+
+    Documents go in groups of GROUP. A group asks for its keys by range, as sorted blocks; where a range's entries and requests
+    meet, what they find is summed by document, and a group's sums meet under the group's number."""
     tree, far = model
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(tree), tree.bits
     bound_batches(docs.sparkSession)
-    rows = docs.select(utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.struct(F.col(id_col).alias("id"), *(c.alias(k) for k, c in (extra or {}).items())).alias("doc"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = F.struct(F.col(id_col).alias("id"), *(c.alias(k) for k, c in (extra or {}).items()))
+    rows = docs.select(utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), own.alias("doc"))
+    kind = rows.schema["doc"].dataType
+    # part: a range; grp: a group of documents, or -1 for entries; a, b: keys and whose they are, entries' keys and values, or sums
+    block = T.StructType([*T._parse_datatype_string("part bigint, grp bigint, size bigint, a binary, b binary"), T.StructField("docs", T.ArrayType(kind))])
+    summed = T.StructType([*T._parse_datatype_string("grp bigint, size bigint, sums binary"), T.StructField("docs", T.ArrayType(kind))])
+
+    def blocks(cut, keys, values, part, grp, docs_type):
+        n = len(part)
+        a = pa.array([_planes(keys[s:e]) for s, e in zip(cut, cut[1:])], pa.binary())
+        b = pa.array([values[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(n, grp)), pa.array(np.diff(cut)), a, b, pa.nulls(n, docs_type)], names=block.names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, GROUP):
+                some = b.slice(at, GROUP)
                 sums, where, keys = shared.value.score(some.column(0))
-                n, more = some.num_rows, len(keys)
-                number, doc = some.column(1), some.column(2)
-                # a row for each text, under a key that no entry has a use for, then one for each key to look up
-                cols = [pa.concat_arrays([number, number.take(pa.array(where))]), pa.array(np.concatenate([number.to_numpy() * 0x9E3779B1, keys.view(np.int64)])), pa.concat_arrays([doc, pa.nulls(more, doc.type)])]
-                cols += [pa.concat_arrays([pa.array(x), pa.nulls(more, pa.array(x).type)]) for x in sums]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "doc", "tokens", "known", "base", "score"])
-
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("tokens bigint, known bigint, base double, score double")])
-    asked = rows.mapInArrow(run, schema)
-    found = asked.join(far, "key", "left")
-    own = F.col("tokens").isNull()
-    value = F.when(own, F.col("value"))
-    sums = found.groupBy("row").agg(
-        F.first("doc", ignorenulls=True).alias("doc"), F.sum("tokens").alias("n_tokens"), (F.coalesce(F.sum("known"), F.lit(0)) + F.count_if(own & F.col("word"))).alias("n_known"),
-        (F.sum("base") + F.coalesce(F.sum(F.when(F.col("word"), value)), F.lit(0.0))).alias("base"), (F.sum("score") + F.coalesce(F.sum(value), F.lit(0.0))).alias("score"),
-    )
-    unseen = (F.col("n_tokens") - F.col("n_known")) * F.lit(math.log10(0.5 / tree.unit))
-    return sums.select(F.col("doc.id").alias(id_col), *(F.col(f"doc.{k}").alias(k) for k in extra or {}), "n_tokens", "n_known", (F.col("base") + unseen).alias("base_score"), (F.col("score") + unseen).alias("score"))
+                grp, doc = some.column(1)[0].as_py(), some.column(2)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
+                by = np.argsort(keys)
+                part, cut = _ranges(keys[by], bits)
+                yield blocks(cut, keys[by], where[by].astype(np.uint8), part, grp, lists.type)
+                start = pa.array([np.stack([x.astype(np.float64) for x in sums]).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([hash(grp) % (1 << bits)]), pa.array([grp]), pa.array([len(doc)]), start, pa.nulls(1, pa.binary()), lists], names=block.names)
+        give_back()
+
+    empty = to_arrow_type(T.ArrayType(kind))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            key, value, word = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+            key = key.view(np.uint64)
+            by = np.argsort(key)
+            part, cut = _ranges(key[by], bits)
+            both = np.empty(len(key), np.dtype([("value", "f8"), ("word", "u1")]))
+            both["value"], both["word"] = value[by], word[by]
+            yield blocks(cut, key[by], both, part, -1, empty)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, sums, sizes = None, None, {}, {}
+
+        def flush():
+            if sums:
+                made = [pa.array(list(sums)), pa.array([sizes[g] for g in sums]), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.nulls(len(sums), empty)]
+                sums.clear()
+                yield pa.RecordBatch.from_arrays(made, names=summed.names)
+
+        for b in batches:
+            parts, groups, n = (b.column(i).to_pylist() for i in range(3))
+            for k, (part, grp) in enumerate(zip(parts, groups)):
+                if part != now:
+                    now, table = part, []
+                if grp < 0:
+                    table.append((_numbers(b.column(3)[k].as_py(), n[k], "u8"), np.frombuffer(b.column(4)[k].as_py(), np.dtype([("value", "f8"), ("word", "u1")]))))
+                    continue
+                if b.column(5)[k].is_valid:
+                    yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([n[k]]), b.column(3).slice(k, 1), b.column(5).slice(k, 1).cast(empty)], names=summed.names)
+                    continue
+                if isinstance(table, list):
+                    keys = np.concatenate([t[0] for t in table]) if table else np.zeros(0, np.uint64)
+                    by = np.argsort(keys)
+                    table = keys[by], np.concatenate([t[1] for t in table])[by] if table else None
+                if not len(table[0]):
+                    continue
+                asked, whose = _numbers(b.column(3)[k].as_py(), n[k], "u8"), np.frombuffer(b.column(4)[k].as_py(), np.uint8)
+                at = np.minimum(np.searchsorted(table[0], asked), len(table[0]) - 1)
+                ok = table[0][at] == asked
+                found, whose = table[1][at[ok]], whose[ok]
+                if grp not in sums:
+                    if len(sums) >= SUMS:
+                        yield from flush()
+                    sums[grp], sizes[grp] = np.zeros((4, GROUP)), GROUP
+                word = found["word"].astype(np.float64)
+                sums[grp][1] += np.bincount(whose, word, GROUP)
+                sums[grp][2] += np.bincount(whose, word * found["value"], GROUP)
+                sums[grp][3] += np.bincount(whose, found["value"], GROUP)
+        yield from flush()
+        give_back()
+
+    out = T.StructType([T.StructField("doc", kind), *T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double")])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, docs = None, None, None
+
+        def done():
+            n = len(docs)
+            whole = sums[:, :n]
+            unseen = (whole[0] - whole[1]) * math.log10(0.5 / shared.value.unit)
+            made = [docs, pa.array(whole[0].astype(np.int64)), pa.array(np.rint(whole[1]).astype(np.int64)), pa.array(whole[2] + unseen), pa.array(whole[3] + unseen)]
+            return pa.RecordBatch.from_arrays(made, names=out.names)
+
+        for b in batches:
+            for k, (grp, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if grp != now:
+                    if now is not None:
+                        yield done()
+                    now, sums, docs = grp, np.zeros((4, GROUP)), None
+                sums[:, :n] += np.frombuffer(b.column(2)[k].as_py()).reshape(4, n)
+                if b.column(3)[k].is_valid:
+                    docs = b.column(3).slice(k, 1).flatten()
+        if now is not None:
+            yield done()
+
+    asked = rows.mapInArrow(ask, block).unionByName(far.select("key", "value", "word").mapInArrow(entries, block))
+    met = asked.repartition("part").sortWithinPartitions("part", "grp").mapInArrow(meet, summed)
+    found = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(total, out)
+    return found.select(F.col("doc.id").alias(id_col), *(F.col(f"doc.{k}").alias(k) for k in extra or {}), "n_tokens", "n_known", "base_score", "score")
 
 
 def query(spark, sf_dir):
