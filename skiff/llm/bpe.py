@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skiff.llm.common import fresh, row_function, table, utf8
 
-KEPT = 800_000
+KEPT = 400_000
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
