@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from skiff.llm.common import components, fresh, grouped, in_blocks, local_roots, map_batches, matching, row_function, stored, table, utf8
+from skiff.llm.common import components, discard, fresh, grouped, in_blocks, local_roots, map_batches, matching, row_function, stored, table, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in one block of a bucket.
@@ -184,8 +184,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
 def one_of_each(rows: DataFrame, key: str, found: DataFrame, columns: list[str]) -> DataFrame:
     """The rows that stay, with the columns. found: (id, key, component), a row for each row. Only rows of components of several
     rows are dealt out by key; the others stay where they are."""
-    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("w")).where("n > 1")
-    judged = stored(found.join(groups.select("component", "w"), "component").groupBy("key").agg(F.bool_or(F.col("key") == F.col("w.key")).alias("stays")))
+    groups = stored(found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("w")))
+    # rows of components of several, and by the bitmap a few others, which are their components' first ones
+    several, _ = matching(found, F.col("component"), groups.where("n > 1").select(F.col("component").alias("key")))
+    firsts = groups.select(F.col("w.key").alias("key"), F.lit(True).alias("stays")).distinct()
+    judged = stored(several.select("key").distinct().join(firsts, "key", "left").select("key", F.coalesce("stays", F.lit(False)).alias("stays")))
+    discard(groups)
     some, others = matching(rows, F.xxhash64(key), judged.select(F.xxhash64("key").alias("key")))
     stays, at = fresh(rows, "_stays"), fresh(rows, "_first")
     some = some.join(judged.select(F.col("key").alias(key), F.col("stays").alias(stays)), key, "left")

@@ -157,6 +157,16 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_deduplicate_loses_no_row(spark, similarity):
+    """Ids and texts whose joined forms agree, columns with the operator's own names, maps, and repeated rows."""
+    rows = [("a/b", "c", 1, {"x": 1}), ("a", "b/c", 2, {"x": 2}), ("a", "b/c", 3, {"x": 3}), (None, "d e f", 4, None), ("g", None, 5, None), ("h", "", 6, None), ("i", None, 7, None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, _key int, `_first.x` map<string,int>")
+    got = simhash.deduplicate(d, similarity=similarity).collect()
+    assert {(r.doc_id, r.text) for r in got} == {("a/b", "c"), ("a", "b/c"), (None, "d e f"), ("g", None)} and len(got) == 4
+    assert all(r["_key"] in (1, 2, 3, 4, 5) for r in got) and got[0].__fields__ == ["doc_id", "text", "_key", "_first.x"]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)]
@@ -198,6 +208,32 @@ def test_language(spark, docs, empty):
     assert language.train(train.limit(0)) == []
 
 
+def test_language_by_brute_force(spark):
+    """Every document's language by compressing its blocks with each dictionary, straight from the sample."""
+    import zstandard
+
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    out, at = language.classify(docs.select("doc_id", "text"), model)
+    how = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, min_match=language.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    tools = [(k, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)) for k, c in model]
+    for r in out.collect():
+        text = (r.text or "").lower()
+        if not any(c.isalpha() for c in text):
+            assert r[at].lang == "und"
+            continue
+        data, cut, sizes = text.encode(), [0], {}
+        while cut[-1] < len(data):
+            end = min(len(data), cut[-1] + language.BLOCK)
+            while end < len(data) and 0x80 <= data[end] < 0xC0:
+                end += 1
+            cut.append(end)
+        for k, tool in tools:
+            sizes[k] = sum(len(tool.compress(data[a:b])) for a, b in zip(cut, cut[1:]))
+        assert sizes[r[at].lang] == min(sizes.values())
+    assert [language.Classifier(model).predict(t.encode())[0] for t in ("½", "²", "①", "123", "_")] == ["und"] * 5
+
+
 def test_warc(spark):
     pages = [(3, "http://a/ b", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "u", ""), (2, "u", None), (None, "n", "<p>é</p>"), (None, "n", "only"), (9, "v", "a\r\n\r\nWARC/1.1\r\n\r\n" + LONG), (-7, "w", "neg"), (8, "w", "neg")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
