@@ -1,12 +1,8 @@
-"""What the operators of this subpackage share: running Python over Arrow batches beside the other columns,
-tables in the shared folder, splitting hot buckets, and connected components."""
+"""What the operators of this subpackage share: running Python over Arrow batches beside the other columns, words' keys,
+bitmaps and splitting hot buckets; tables in the shared folder and connected components come from skiff.operators."""
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -16,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from skiff.operators.graph import components  # noqa: F401
+from skiff.operators.store import discard, new_folder, remove, shared_dir, stored  # noqa: F401
+
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE_ROWS = 256
 #: Bytes of an Arrow batch, unless the session says otherwise: whole texts by Spark's 10,000 rows a batch are held many times
@@ -33,40 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode
-    (one machine, as in tests), and an error on a cluster, whose executors could not see it."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="skiff-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a Parquet table in the shared folder, so that a lost executor costs nothing that was
-    computed. discard() removes it."""
-    path = new_folder(df.sparkSession, "stored")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = (weakref.ref(out), path)
-    return out
-
-
-_PATHS: dict[int, tuple] = {}
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes stored() tables that nothing will read again; others are left alone."""
-    for df in tables:
-        known, path = _PATHS.pop(id(df), (lambda: None, ""))
-        if known() is df:
-            remove(df.sparkSession, path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps that are over: it does when the driver collects its garbage, which it may
     not for long while executors' disks fill. For between large steps; it costs the driver about a second."""
@@ -74,16 +39,6 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever file system it is in."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def utf8(column: Column | str) -> Column:
     """The text's UTF-8 bytes; null for null."""
     return (F.col(column) if isinstance(column, str) else column).cast("string").cast("binary")
@@ -341,29 +296,3 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         while (root[root] != root).any():
             root = root[root]
     return root
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) longs to (node, component): component is the smallest node reachable. Nodes without edges are not returned.
-
-    Alternates large-star and small-star steps, each a partial aggregation and an equi-join (which adaptive execution
-    splits where a node has very many edges); each round's edges go to the shared folder."""
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a node whose least is itself keeps its own edges: they are (v, u) there already
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        e, last = stored(small.where("u <> v").distinct()), e
-        discard(last)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
