@@ -105,6 +105,8 @@ def _links(key: int, fp: np.ndarray, home: np.ndarray, blk: np.ndarray, lo: int,
 def links(prints: DataFrame) -> DataFrame:
     """(u, v): edges that connect distinct fingerprints (column fp) exactly as all pairs at most RADIUS apart would."""
 
+    # each fingerprint becomes 68 rows: small as they are, they are dealt to as many tasks as a shuffle has
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.columns[0])
     rows = in_blocks(filed(prints), "key", "fp", BLOCK, F.max("home"))
 
     def run(batches):
