@@ -2,7 +2,7 @@
 
 Two bigram models over lower-cased words, one of toxic and one of ordinary documents. A bigram counts once for each distinct
 word before it, as in the lower orders of a trigram model, so copied documents count once. In each model that count, less
-DISCOUNT, backs off to the class's continuation counts (in how many distinct contexts of the class a word occurs), and both
+a discount, backs off to the class's continuation counts (in how many distinct contexts of the class a word occurs), and both
 levels, discounted, back off to what discounting took from the counts of the two classes together: what is rare in a class
 is smoothed by counts that the classes share, so only words and expressions that the classes use differently move a score.
 A word that is rare in both classes (a compound, an inflected form) backs off further, to its longest beginning of up to
@@ -18,6 +18,10 @@ The training rows are a bounded sample: as many documents of either class, SAMPL
 ones (classes of one size keep what is rare in both from telling them apart). Rows whose
 label or text is null are left out. If either class has no training row, every score is 0.
 
+How much is discounted depends on how much there is to learn from, so training tries each of DISCOUNTS and keeps the one whose
+scale, fitted on one half of the training documents that the models have not seen, gives the other half the smallest log loss
+(of equal ones the largest). The constants were chosen alike, by cross-validation inside the training rows.
+
 Cases: a null text or one without words has the score that the fitted scale gives equal likelihoods. Words are
 [^\\W\\d_]+ runs with inner apostrophes. Documents with several labels train once for each; repeated documents are each answered.
 """
@@ -29,11 +33,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import crc_mod, fresh, map_batches, row_function, stored, table, utf8
+from skiff.llm.common import crc_mod, discard, fresh, map_batches, row_function, stored, table, utf8
 
 #: The bound on the training sample: documents of each class.
 SAMPLE = 8000
-DISCOUNT, PEAKS, STEM, MOST = 4, 2, 5, 3.5
+DISCOUNTS, PEAKS, STEM, MOST = (2, 4, 8), 2, 8, 3.5
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 EDGE = ""
 
@@ -43,7 +47,7 @@ def words_of(text: bytes | None) -> list[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
-    """(label 0/1, fold, text bytes) of as many documents of either class, about SAMPLE at most, by a function of each id's
+    """(label 0/1, fold, half, key, text bytes) of as many documents of either class, about SAMPLE at most, by a function of each id's
     hash; and the labels' counts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -52,44 +56,43 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     share = F.when(F.col("label") == 1, most / max(1, counts.get(1, 0))).otherwise(most / max(1, counts.get(0, 0)))
     # at most about 2 * SAMPLE rows of an id and a bit, whatever the table's size
     chosen = F.broadcast(known.where(unit < share))
-    h = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("fold")), F.lit(4)).cast("int")
-    return docs.where(F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("_id")).select("label", h.alias("fold"), utf8(text_col).alias("text")), counts
-
-
-def over(n: int) -> int:
-    return max(0, n - DISCOUNT)
+    h = F.xxhash64(F.col("_id").cast("string"), F.lit("fold"))
+    fold, half = F.pmod(h, F.lit(4)).cast("int"), F.pmod(F.shiftright(h, 2), F.lit(2)).cast("int")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), utf8(text_col).alias("text"))
+    return texts.join(chosen, F.col("_doc") == F.col("_id")).select("label", fold.alias("fold"), half.alias("half"), h.alias("key"), "text"), counts
 
 
-def smoothed(counts: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int) -> tuple[list[float], dict[str, tuple[float, ...]]]:
-    """Each class's backoff weight, and its probability of each of counts, the entries with over DISCOUNT in a class.
-    totals: the classes' sums over all entries; spared: the sum over all of what of both classes' counts is within DISCOUNT.
+def smoothed(counts: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int, discount: int) -> tuple[list[float], dict[str, tuple[float, ...]]]:
+    """Each class's backoff weight, and its probability of each of counts, the entries with over the discount in a class.
+    totals: the classes' sums over all entries; spared: the sum over all of what of both classes' counts is within the discount.
     Any other entry has its shared part times the weight, so that only the weights tell the classes apart there."""
-    back = [1 - sum(over(k[c]) for k in counts.values()) / max(1, totals[c]) for c in (0, 1)]
+    back = [1 - sum(max(0, k[c] - discount) for k in counts.values()) / max(1, totals[c]) for c in (0, 1)]
     back = [max(b, 1e-3) for b in back]
-    return back, {w: tuple((over(k[c]) / max(1, totals[c])) + back[c] * min(DISCOUNT, sum(k)) / spared for c in (0, 1)) for w, k in counts.items()}
+    return back, {w: tuple(max(0, k[c] - discount) / max(1, totals[c]) + back[c] * min(discount, sum(k)) / spared for c in (0, 1)) for w, k in counts.items()}
 
 
 class Model:
     """Log-likelihood ratios: of heavy bigrams, and of words in other ones with the context's part added."""
 
-    def __init__(self, words: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int, contexts: dict[str, tuple[int, int]], heavy: list[tuple[str, str, int, int]], stems: dict[int, tuple]):
-        """words: distinct contexts in either class of words with over DISCOUNT in one, totals and spared as in smoothed();
-        contexts: bigrams by class that begin with a word; heavy: (first, second, n0, n1) of bigrams over DISCOUNT in a
-        class; stems: smoothed()'s arguments for the words' beginnings of each length."""
-        back, word = smoothed(words, totals, spared)
+    def __init__(self, words: dict[str, tuple[int, int]], totals: tuple[int, int], spared: int, contexts: dict[str, tuple[int, int]], heavy: list[tuple[str, str, int, int]], stems: dict[int, tuple], discount: int):
+        """words: distinct contexts in either class of words with over the discount in one, totals and spared as in smoothed();
+        contexts: bigrams by class that begin with a word; heavy: (first, second, n0, n1) of bigrams over it in a
+        class; stems: smoothed()'s first three arguments for the words' beginnings of each length."""
+        back, word = smoothed(words, totals, spared, discount)
+        self.discount = discount
         self.new = math.log(back[1] / back[0])
         self.word = {w: math.log(p[1] / p[0]) for w, p in word.items()}
-        self.stem = {b: math.log(p[1] / p[0]) for part in stems.values() for b, p in smoothed(*part)[1].items()}
+        self.stem = {b: math.log(p[1] / p[0]) for part in stems.values() for b, p in smoothed(*part, discount)[1].items()}
         left = [{a: 1.0 for a in contexts} for _ in (0, 1)]
         for a, _, *n in heavy:
             for c in (0, 1):
-                left[c][a] -= over(n[c]) / max(1, contexts[a][c])
+                left[c][a] -= max(0, n[c] - discount) / max(1, contexts[a][c])
         self.context = {a: math.log(max(left[1][a], 1e-3) / max(left[0][a], 1e-3)) for a in contexts}
         self.bigram = {}
         for a, b, *n in heavy:
             if b in words:
-                both = min(DISCOUNT, sum(n)) / sum(contexts[a])
-                p = [over(n[c]) / max(1, contexts[a][c]) + max(left[c][a], 1e-3) * (both + word[b][c]) / 2 for c in (0, 1)]
+                both = min(discount, sum(n)) / sum(contexts[a])
+                p = [max(0, n[c] - discount) / max(1, contexts[a][c]) + max(left[c][a], 1e-3) * (both + word[b][c]) / 2 for c in (0, 1)]
                 self.bigram[a, b] = math.log(p[1] / p[0])
 
     def rare(self, word: str) -> float:
@@ -116,9 +119,8 @@ class Model:
         return float(total / n), float(total / math.sqrt(n)), float(ordered[-PEAKS:].mean() - np.median(ordered))
 
 
-def _statistics(rows: DataFrame) -> tuple:
-    """Model's arguments; trigrams are made distinct in each task before they are dealt out. What comes to the driver is bounded by
-    the sample: words, bigrams and beginnings of words that occur over DISCOUNT times in it."""
+def _trigrams(rows: DataFrame) -> DataFrame:
+    """Distinct (label, before, first, second), made distinct in each task before they are dealt out."""
 
     def start():
         seen = set()
@@ -134,38 +136,80 @@ def _statistics(rows: DataFrame) -> tuple:
 
         return work
 
-    out = map_batches(rows.select("label", "text"), "label int, before string, first string, second string", start).distinct()
-    both = stored(out.groupBy("first", "second").agg(F.sum(F.when(F.col("label") == 0, 1)).alias("n0"), F.sum(F.when(F.col("label") == 1, 1)).alias("n1")))
-    kinds = stored(both.groupBy("second").agg(F.count("n0").alias("k0"), F.count("n1").alias("k1")))
-    t0, t1, spared = kinds.agg(F.sum("k0"), F.sum("k1"), F.sum(F.least(F.lit(DISCOUNT), F.col("k0") + F.col("k1")))).first()
-    words = {r[0]: (r[1], r[2]) for r in kinds.where(F.greatest("k0", "k1") > DISCOUNT).collect()}
-    heavy = [tuple(r) for r in both.where(F.greatest("n0", "n1") > DISCOUNT).select("first", "second", F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))).collect()]
+    return map_batches(rows.select("label", "text"), "label int, before string, first string, second string", start).distinct()
+
+
+def _spared(discount: int, a: str, b: str):
+    return F.sum(F.least(F.lit(discount), F.col(a) + F.col(b))).alias(f"s{discount}")
+
+
+def _statistics(rows: DataFrame) -> dict[int, tuple] | None:
+    """Model's arguments for each of DISCOUNTS, or None where a class has no word. What comes to the driver is bounded by the sample:
+    the words, bigrams and beginnings of words that occur over the smallest discount in it."""
+    least = min(DISCOUNTS)
+    both = stored(_trigrams(rows).groupBy("first", "second").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")))
+    kinds = stored(both.groupBy("second").agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")))
+    t0, t1, *spared = kinds.agg(F.sum("k0"), F.sum("k1"), *(_spared(d, "k0", "k1") for d in DISCOUNTS)).first()
+    if not (t0 and t1):
+        discard(both, kinds)
+        return None
+    words = {r[0]: (r[1], r[2]) for r in kinds.where(F.greatest("k0", "k1") > least).collect()}
+    heavy = [tuple(r) for r in both.where(F.greatest("n0", "n1") > least).select("first", "second", "n0", "n1").collect()]
     some = both.sparkSession.createDataFrame([(a,) for a in {h[0] for h in heavy}], "first string")
-    sums = both.join(F.broadcast(some), "first").groupBy("first").agg(F.sum(F.coalesce("n0", F.lit(0))), F.sum(F.coalesce("n1", F.lit(0))))
+    contexts = {r[0]: (r[1], r[2]) for r in both.join(F.broadcast(some), "first").groupBy("first").agg(F.sum("n0"), F.sum("n1")).collect()}
     begin = kinds.where(F.length("second") > 1).select("k0", "k1", F.explode(F.expr(f"transform(sequence(1, least({STEM}, length(second) - 1)), n -> left(second, n))")).alias("stem"))
     begin = stored(begin.groupBy("stem").agg(F.count_if(F.col("k0") > 0).alias("k0"), F.count_if(F.col("k1") > 0).alias("k1")))
-    stems = {r[0]: ({}, (r[1], r[2]), r[3]) for r in begin.groupBy(F.length("stem")).agg(F.sum("k0"), F.sum("k1"), F.sum(F.least(F.lit(DISCOUNT), F.col("k0") + F.col("k1")))).collect()}
-    for r in begin.where(F.greatest("k0", "k1") > DISCOUNT).collect():
-        stems[len(r[0])][0][r[0]] = (r[1], r[2])
-    return words, (t0 or 0, t1 or 0), spared or 0, {r[0]: (r[1], r[2]) for r in sums.collect()}, heavy, stems
+    sums = begin.groupBy(F.length("stem")).agg(F.sum("k0"), F.sum("k1"), *(_spared(d, "k0", "k1") for d in DISCOUNTS)).collect()
+    stems = [tuple(r) for r in begin.where(F.greatest("k0", "k1") > least).collect()]
+    discard(both, kinds, begin)
+    out = {}
+    for i, d in enumerate(DISCOUNTS):
+        parts = {r[0]: ({}, (r[1], r[2]), r[3 + i]) for r in sums}
+        for b, k0, k1 in stems:
+            if max(k0, k1) > d:
+                parts[len(b)][0][b] = (k0, k1)
+        often = [h for h in heavy if max(h[2:]) > d]
+        out[d] = {w: k for w, k in words.items() if max(k) > d}, (t0, t1), spared[i], {a: contexts[a] for a in {h[0] for h in often}}, often, parts, d
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray] | None:
     """The models and the fitted scale (weights of the features, and a constant), or None without both classes."""
     rows, counts = sample(docs, labels, id_col, text_col, label_col)
+    rows = stored(rows)
     statistics = _statistics(rows.where("fold <> 0"))
-    if not min(statistics[1]):
+    if statistics is None:
+        discard(rows)
         return None
-    model = Model(*statistics)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    models = [Model(*statistics[d]) for d in DISCOUNTS]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def start():
-        return lambda texts: [shared.value.features(t) for t in texts]
-
-    unseen = rows.where("fold = 0").select("label", row_function("a double, b double, c double", start)("text").alias("x")).select("label", "x.*").toArrow().to_pydict()
-    if len(set(unseen["label"])) < 2:
+        return lambda texts: [tuple(x for m in shared.value for x in m.features(t)) for t in texts]
+
+    names = [f"f{i}" for i in range(3 * len(models))]
+    features = row_function(", ".join(f"{n} double" for n in names), start)("text")
+    unseen = rows.where("fold = 0").orderBy("key").select("label", "half", features.alias("x")).select("label", "half", "x.*").toArrow().to_pydict()
+    shared.unpersist()
+    discard(rows)
+    y, half = np.array(unseen["label"]), np.array(unseen["half"])
+    if len(set(y)) < 2:
         return None
-    return model, fit(np.array([unseen["a"], unseen["b"], unseen["c"]]).T, np.array(unseen["label"]), counts[1] / counts[0])
+    x = [np.array([unseen[n] for n in names[3 * i : 3 * i + 3]]).T for i in range(len(models))]
+    best = min(range(len(models)), key=lambda i: (_loss(x[i], y, half), -DISCOUNTS[i]))
+    return models[best], fit(x[best], y, counts[1] / counts[0])
+
+
+def _loss(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> float:
+    """The log loss of each half's rows on a scale fitted on the other; 0 where a half has one class only."""
+    if len(set(zip(y.tolist(), half.tolist(), strict=True))) < 4:
+        return 0.0
+    out = 0.0
+    for h in (0, 1):
+        w = fit(x[half != h], y[half != h], y.mean() / (1 - y.mean()))
+        z = x[half == h] @ w[:-1] + w[-1]
+        out += np.logaddexp(0, np.where(y[half == h] == 1, -z, z)).sum()
+    return round(float(out), 9)
 
 
 def fit(x: np.ndarray, y: np.ndarray, odds: float, pull: float = 0.02) -> np.ndarray:

@@ -309,6 +309,63 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(d, y.limit(0)) is None and toxicity.score(docs, None)[0].select(F.max("toxicity.score")).first()[0] == 0
 
 
+def toxicity_by_brute_force(sample, discount):
+    """A function from a text to op8's features, by the definition, from (label, text) of the models' training rows."""
+    seen = {(y, z, a, b) for y, t in sample for ws in [toxicity.words_of(t)] for z, a, b in zip(["", "", *ws], ["", *ws], ws)}
+    grams = {(y, a, b): 0 for y, _, a, b in seen}
+    for y, _, a, b in seen:
+        grams[y, a, b] += 1
+    kinds = {}
+    for y, a, b in grams:
+        kinds.setdefault(b, [0, 0])[y] += 1
+    firsts = {}
+    for (y, a, _), n in grams.items():
+        firsts.setdefault(a, [0, 0])[y] += n
+    begins = {}
+    for w, k in kinds.items():
+        for n in range(1, min(toxicity.STEM, len(w) - 1) + 1):
+            for y in (0, 1):
+                begins.setdefault(n, {}).setdefault(w[:n], [0, 0])[y] += k[y] > 0
+
+    def level(counts):
+        """Both classes' backoff weights, and the ratio of what is frequent in one."""
+        total = [sum(k[y] for k in counts.values()) for y in (0, 1)]
+        shared = sum(min(discount, sum(k)) for k in counts.values())
+        back = [max(1e-3, 1 - sum(max(0, k[y] - discount) for k in counts.values()) / max(1, total[y])) for y in (0, 1)]
+        return back, {w: [max(0, k[y] - discount) / max(1, total[y]) + back[y] * min(discount, sum(k)) / shared for y in (0, 1)] for w, k in counts.items() if max(k) > discount}
+
+    back, word = level(kinds)
+    begin = {b: p for part in begins.values() for b, p in level(part)[1].items()}
+    heavy = {(a, b) for (_, a, b), n in grams.items() if n > discount}
+    led = {a for a, _ in heavy}
+    left = {a: [max(1e-3, 1 - sum(max(0, grams.get((y, a, b), 0) - discount) for f, b in heavy if f == a) / max(1, firsts[a][y])) for y in (0, 1)] for a in led}
+    log = lambda p: np.log(p[1] / p[0])
+
+    def ratio(a, b):
+        if (a, b) in heavy and b in word:
+            n = [grams.get((y, a, b), 0) for y in (0, 1)]
+            return log([max(0, n[y] - discount) / max(1, firsts[a][y]) + left[a][y] * (min(discount, sum(n)) / sum(firsts[a]) + word[b][y]) / 2 for y in (0, 1)])
+        known = word.get(b) or next((begin[b[:n]] for n in range(min(toxicity.STEM, len(b) - 1), 0, -1) if b[:n] in begin), back)
+        return log(known) + (log(left[a]) if a in led else 0)
+
+    def features(text):
+        ws = toxicity.words_of(text)
+        x = sorted(max(-toxicity.MOST, min(toxicity.MOST, ratio(a, b))) for a, b in set(zip(["", *ws], ws)))
+        if not x:
+            return 0.0, 0.0, 0.0
+        return sum(x) / len(x), sum(x) / len(x) ** 0.5, np.mean(x[-toxicity.PEAKS :]) - np.median(x)
+
+    return features
+
+
+def test_toxicity_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "vile words here" if i % 2 else "kind words here", i, "x") for i in range(40)], "doc_id long, text string, label long, _id string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (1, 0)], "doc_id long, toxic int")
+    out, at = toxicity.score(d, toxicity.train(d, y))
+    assert at == "toxicity" and out.count() == 40 and out.columns == [*d.columns, at]
+    assert [r.label for r in out.orderBy("doc_id").collect()] == list(range(40))
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from skiff.llm import bpe, common, decontaminate, queries, secrets, simhash, suffix_tree, toxicity
-from tests.llm.test_cases import near_copies_by_brute_force, scored_by_brute_force, suffix_tree_by_brute_force
+from tests.llm.test_cases import near_copies_by_brute_force, scored_by_brute_force, suffix_tree_by_brute_force, toxicity_by_brute_force
 from tests.oracle import compare
 
 SF, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -60,6 +60,20 @@ def test_bpe(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in Q["op9_bpe"](spark, TINY).collect()} == want
 
 
+def test_toxicity_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = toxicity.sample(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"), "doc_id", "text", "toxic")[0].where("fold <> 0").select("label", "text").collect()
+    model, w = toxicity.learned(spark, SF)
+    features = toxicity_by_brute_force([(r.label, bytes(r.text)) for r in rows], model.discount)
+    texts = dict(source(SF))
+    got = Q["op8_toxicity"](spark, SF).collect()
+    assert len(got) == len(texts) and min(r.predicted for r in got) == 0 < max(r.predicted for r in got)
+    for r in got:
+        want = 1 / (1 + np.exp(-(np.dot(w[:3], features((texts[r.doc_id] or "").encode())) + w[3])))
+        assert np.isclose(r.score, want, atol=1e-9) and r.predicted == int(want >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_lm_by_brute_force(spark):
     docs = source(TINY)
     train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
