@@ -245,15 +245,18 @@ def _starts(cols: dict[str, np.ndarray], keys: Sequence[str]) -> np.ndarray:
     return np.append(0, np.flatnonzero(np.logical_or.reduce([cols[k][1:] != cols[k][:-1] for k in keys])) + 1)
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, block: int, useful: Column) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, member: str, block: int, useful: Column, facts: DataFrame | None = None) -> DataFrame:
     """Deals out buckets for work on the pairs within each. A bucket is the rows of one key. A bucket of up to block rows
     is one task group; a larger one has its rows hashed into m = ceil(rows / block) blocks and becomes m * (m + 1) / 2
     groups, one for each pair of blocks, so that every pair of its rows meets, and in one group only (rows of one block
-    meet in the group (i, i)). useful is an aggregate condition on a bucket; other buckets go.
+    meet in the group (i, i)). useful is an aggregate condition on a bucket; other buckets go. facts (by member) join the rows that
+    are left, so that rows of no use move without them.
 
     Adds _lo, _hi, _blk and orders the rows by (key, _lo, _hi) within partitions dealt by the three."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), useful.alias("_use")).where("_use and _n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_m"))
     rows = rows.join(sizes, key)
+    if facts is not None:
+        rows = rows.join(facts, member)
     blk = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_m")).cast("int")
     rows = rows.withColumn("_blk", blk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     rows = rows.withColumn("_lo", F.least("_blk", "_other")).withColumn("_hi", F.greatest("_blk", "_other")).drop("_m", "_other")

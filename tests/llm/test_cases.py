@@ -135,6 +135,20 @@ def test_e8():
     assert len(embeddings.ROOTS) == 240 and (((x - p) ** 2).sum(1) <= ((x[:, None] - near) ** 2).sum(2).min(1) + 1e-9).all()
 
 
+@pytest.mark.parametrize("dims", [16, 64, 384])
+def test_cells_meet_near_vectors_and_few_others(dims):
+    g = np.random.default_rng(dims)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(g.standard_normal((4000, dims)))
+    away = g.standard_normal(a.shape)
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * unit(away - (away * a).sum(1)[:, None] * a)
+    ka, kb = (embeddings.keys_of(x, np.zeros(len(x), np.uint64)) for x in (a, b))
+    met = lambda p, q: ((p[:, :, :1] == q) | (q[:, :, :1] == p)).any((1, 2))
+    assert met(ka, kb).mean() >= 0.998  # at the threshold itself; nearer pairs more surely
+    others = np.mean([met(ka, np.roll(ka, k, 0)).mean() for k in range(1, 60)])
+    assert others < 2e-4 if dims < 64 else others < 3e-5
+
+
 def test_simhash_links(spark):
     r = np.random.default_rng(5)
     centres = r.integers(0, 1 << 62, 30, dtype=np.uint64)
