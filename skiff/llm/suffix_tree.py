@@ -10,12 +10,13 @@ to the root. A token is scored in the state of the longest suffix of its history
 
 Counting: words and grams are 64-bit keys (common.word_keys, and a mix of the keys of a gram's two ends), so two of n
 share one with a probability of about n * n / 2 ** 65. Tasks count their own first and deal sorted blocks of keys by key
-range. A first pass counts words, and grams by 40 bits of their keys; a second counts what that leaves, by bitmaps, with its ends.
+range. A first pass counts words, and grams of two words by 40 bits of their keys; a second the longer grams, so too, whose grams of
+two words may all occur LEAST times; a third counts what those leave, by bitmaps, with its ends.
 
 Sizes: the tests are on counts, so words, states and kept symbols grow with the corpus. They are a table (key, n, value, word)
 of what each adds to a token's logarithm: a word its root's, a state its backoff weight, a kept symbol the rest. The NEAR most
-frequent of them are broadcast; groups of texts ask the table for the others, range by range, which one bitmap of them
-(32 MB at most) keeps small. Neither changes a result.
+frequent of them are broadcast; groups of texts ask the table for the others, range by range, which two bitmaps of them
+(32 MB each at most) keep small; a kept symbol is only asked for where its state may be there. Neither changes a result.
 
 Cases: a null text is empty: one token, the end. With no training text, N and V are 0. A text of unknown words has known
 probabilities from the root's share for unseen ones. Repeated documents are each answered (and each trained on). A very long
@@ -41,12 +42,15 @@ from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, give_back,
 #: Groups whose sums a task holds (8 kB each); entries that are broadcast at most, at 24 bytes each; documents that ask for the others together (256 at most, as
 #: their places take a byte).
 SUMS, NEAR, GROUP = 8192, 200_000, 256
-ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 2, 3.0, 1.2, 0.5, 3
+ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 4, 3.0, 1.2, 0.5, 3
 #: Keys that a task counts before it hands them on, and bytes of text for one range of keys.
 HELD, RANGE_BYTES = 4_000_000, 4 << 20
 #: Keys of a text's start and end, and of the symbol that stands for a state's own weight.
 START, END, STATE = (np.uint64(k) for k in (0x7374617274000001, 0x656E640000000001, 0x7374617465000001))
 
+#: By how many bits a key is shifted for its place in the second bitmap.
+TURN = np.uint64(32)
+
 _FIRST, _LAST = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -160,24 +164,30 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys[at], by[at], np.add.reduceat(n[by], at)
 
 
-def _counts(texts: DataFrame, orders: int, bits: int) -> DataFrame:
+def _counts(texts: DataFrame, orders: list[int], pairs, bits: int) -> DataFrame:
     """(order, key, n): for order 0 all words and ends; for the others the grams of order + 1 words by 40 bits of their keys,
-    where those occur LEAST times."""
+    where those occur LEAST times. pairs: None, or a bitmap by 40 bits of what grams of two words others may be made of."""
     low = np.uint64(24)
 
     def start():
-        held = [[] for _ in range(orders + 1)]
+        held = {order: [] for order in orders}
 
         def take(texts):
             g, place, _ = laid_out(texts)
-            held[0].append(g[place > 0])
-            for order in range(1, orders + 1):
+            if 0 in held:
+                held[0].append(g[place > 0])
+            there = None
+            for order in range(1, max(orders) + 1):
                 g = gram_keys(g[:-1], g[1:])
-                held[order].append(g[place[order:] >= order])
-            return sum(map(len, held[0])) * (orders + 1)
+                if pairs is not None:
+                    there = may_hold(pairs.value, g >> low) if order == 1 else there[:-1] & there[1:]
+                if order in held:
+                    ok = place[order:] >= order
+                    held[order].append(g[ok if there is None else ok & there])
+            return sum(len(k) for parts in held.values() for k in parts)
 
         def flush():
-            for order, parts in enumerate(held):
+            for order, parts in held.items():
                 keys = np.concatenate(parts)
                 parts.clear()
                 keys, n = np.unique(keys if order == 0 else keys >> low, return_counts=True)
@@ -278,7 +288,14 @@ class Tree:
     def __init__(self, total: int, kinds: int):
         self.total, self.unit, self.orders = total, total + 0.5 * (kinds + 1), 0
         self.near = Entries(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
-        self.far, self.bits = np.zeros(1 << 12, np.uint8), 4
+        self.far, self.bits = (np.zeros(1 << 12, np.uint8),) * 2, 4
+
+    def may_ask(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys may be among the entries that are not here."""
+        out = may_hold(self.far[0], keys)
+        at = np.flatnonzero(out)
+        out[at] = may_hold(self.far[1], keys[at] >> TURN)
+        return out
 
     def score(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """For each text: tokens, known ones, sums of log10 P in the root and in the longest state as far as known here; and the
@@ -287,7 +304,7 @@ class Tree:
         value, base, known = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w), bool)
         where, more = [], []
 
-        def add(keys: np.ndarray, at: np.ndarray, words: bool) -> None:
+        def add(keys: np.ndarray, at: np.ndarray, words: bool) -> np.ndarray:
             asked, found = self.near.find(keys)
             value[at[asked]] += self.near.values[found]
             if words:
@@ -295,9 +312,10 @@ class Tree:
             rest = np.ones(len(keys), bool)
             rest[asked] = False
             rest = np.flatnonzero(rest)
-            rest = rest[may_hold(self.far, keys[rest])]
+            rest = rest[self.may_ask(keys[rest])]
             where.append(at[rest])
             more.append(keys[rest])
+            return np.append(asked, rest)
 
         at = np.flatnonzero(place > 0)
         add(w[at], at, True)
@@ -305,8 +323,9 @@ class Tree:
         for order in range(1, self.orders + 1):
             at = np.flatnonzero(place[order:] >= order)
             state, g = g[:-1] ^ STATE, gram_keys(g[:-1], g[1:])
-            for k in (state, g):
-                add(k[at], at + order, False)
+            # no state, no symbols of it
+            at = at[add(state[at], at + order, False)]
+            add(g[at], at + order, False)
         sums = [np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.zeros(0, x.dtype) for x in (known.astype(np.int64), base, value)]
         text = np.searchsorted(begin, np.concatenate(where), "right") - 1
         return [np.diff(begin) - 1, *sums], text, np.concatenate(more)
@@ -337,7 +356,14 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (size // RANGE_BYTES).bit_length())
-    counts = stored(_counts(texts, ORDERS, bits))
+    counts = stored(_counts(texts, [0, 1], None, bits))
+    tables = [counts]
+    longer = list(range(2, ORDERS + 1))
+    if longer:
+        pairs = spark.sparkContext.broadcast(bitmap(counts.where("order = 1").select("key")))
+        tables.append(stored(_counts(texts, longer, pairs, bits)))
+        pairs.unpersist()
+    release(spark)
     words = counts.where("order = 0").select("key", "n")
     total, kinds, ends = words.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("key") == _signed(END), F.col("n")))).first()
     tree = Tree(total or 0, kinds)
@@ -346,11 +372,11 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     parts = [words.select("key", "n", (root * ten).alias("value"), F.lit(True).alias("word"))]
     known = words.select("key", "n", root.alias("lp"))
     known = known.unionByName(spark.createDataFrame([(_signed(START), ends or 0, 0.0)], known.schema)).where(F.col("n") >= LEAST)
-    often = [known, *(counts.where(F.col("order") == k) for k in range(1, ORDERS + 1))]
+    often = [known, *(tables[min(k, 2) - 1].where(F.col("order") == k) for k in range(1, ORDERS + 1))]
     heavy = spark.sparkContext.broadcast([bitmap(o.select("key")) for o in often])
     found = stored(_gram_counts(texts, heavy, bits))
     heavy.unpersist()
-    tables = [counts, found]
+    tables.append(found)
     for order in range(1, ORDERS + 1):
         grams = stored(_grown(found.where(F.col("order") == order).drop("order"), known))
         tables.append(grams)
@@ -375,7 +401,7 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     near = whole.where(F.col("n") >= least).select("key", "value", "word").toArrow()
     tree.near = Entries(near["key"].to_numpy().view(np.uint64), near["value"].to_numpy(), near["word"].to_numpy())
     far = whole.where(F.col("n") < least).select("key", "value", "word")
-    tree.far = bitmap(far)
+    tree.far = bitmap(far), bitmap(far.select(F.shiftrightunsigned("key", int(TURN)).alias("key")))
     tree.bits = max(4, (far.count() >> 16).bit_length())
     return tree, far
 
