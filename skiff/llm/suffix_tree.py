@@ -376,7 +376,9 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     heavy = spark.sparkContext.broadcast([bitmap(o.select("key")) for o in often])
     found = stored(_gram_counts(texts, heavy, bits))
     heavy.unpersist()
-    tables.append(found)
+    discard(*tables[1:])
+    release(spark)
+    tables = [counts, found]
     for order in range(1, ORDERS + 1):
         grams = stored(_grown(found.where(F.col("order") == order).drop("order"), known))
         tables.append(grams)
@@ -388,6 +390,7 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
         entries = states.select("key", "n", "value").unionByName(kept.select("key", "n", "value"))
         parts.append(entries.select("key", "n", (F.col("value") * ten).alias("value"), F.lit(False).alias("word")))
         known = grams.select("key", "n", "lp")
+        release(spark)
     whole = stored(reduce(DataFrame.unionByName, parts))
     discard(*tables)
     release(spark)
