@@ -252,11 +252,14 @@ def in_blocks(rows: DataFrame, key: str, member: str, block: int, useful: Column
     meet in the group (i, i)). useful is an aggregate condition on a bucket; other buckets go. facts (by member) join the rows that
     are left, so that rows of no use move without them.
 
+    Spark takes rows that Arrow functions have multiplied for no more than they were made of, and would broadcast them from the
+    driver: the joins are sort-merge joins, whatever it guesses.
+
     Adds _lo, _hi, _blk and orders the rows by (key, _lo, _hi) within partitions dealt by the three."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), useful.alias("_use")).where("_use and _n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_m"))
-    rows = rows.join(sizes, key)
+    rows = rows.join(sizes.hint("merge"), key)
     if facts is not None:
-        rows = rows.join(facts, member)
+        rows = rows.join(facts.hint("merge"), member)
     blk = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_m")).cast("int")
     rows = rows.withColumn("_blk", blk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     rows = rows.withColumn("_lo", F.least("_blk", "_other")).withColumn("_hi", F.greatest("_blk", "_other")).drop("_m", "_other")

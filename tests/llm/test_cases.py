@@ -128,6 +128,12 @@ def test_buckets_in_blocks(spark, monkeypatch):
     test_simhash_links(spark)
 
 
+def test_buckets_are_not_broadcast(spark):
+    # 68 rows come of each fingerprint, which Spark's estimate does not know
+    plan = simhash.links(spark.range(50000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_e8():
     x = np.random.default_rng(1).standard_normal((300, 8)) * 2
     p = embeddings.nearest_e8(x)
