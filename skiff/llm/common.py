@@ -219,8 +219,9 @@ def matching(rows: DataFrame, by: Column, keys: DataFrame) -> tuple[DataFrame, D
     return rows.where(held), rows.where(~held)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 1 << 18) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Whole runs of equal keys in ordered batches of numbers, many at a time: columns, and where runs start and end."""
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 1 << 18, limit: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Whole runs of equal keys in ordered batches of numbers, many at a time: columns, and where runs start and end. With a
+    limit, a run of more rows may come in pieces, all but the last of which have more than limit rows."""
     held: list[dict[str, np.ndarray]] = []
     size, goal = 0, most
     for batch in batches:
@@ -235,6 +236,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 1 <
         if last := int(cut[-1]):
             yield {k: v[:last] for k, v in whole.items()}, cut
         held, size = [{k: v[last:] for k, v in whole.items()}], size - last
+        if limit is not None and size > limit:
+            yield held[0], np.array([0, size])
+            held, size = [], 0
         goal = max(most, 2 * size)
     if size:
         whole = {k: np.concatenate([h[k] for h in held]) for k in held[0]}

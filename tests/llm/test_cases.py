@@ -542,6 +542,38 @@ def test_shingles(spark, empty, monkeypatch, block):
     assert shingles.deduplicate(empty).count() == 0
 
 
+def test_runs_in_pieces():
+    key = np.repeat(np.arange(8), [1, 30, 2, 3, 25, 1, 1, 9])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 4]), pa.array(np.arange(len(key))[i : i + 4])], names=["k", "at"]) for i in range(0, len(key), 4)]
+    for limit in (None, 6):
+        out = list(common.runs(iter(batches), ("k",), 8, limit))
+        assert np.concatenate([c["at"] for c, _ in out]).tolist() == list(range(len(key)))
+        ends = [(c["k"][a], b - a) for c, cut in out for a, b in zip(cut, cut[1:])]
+        assert all(len(set(c["k"][a:b])) == 1 for c, cut in out for a, b in zip(cut, cut[1:]))
+        for i, (k, n) in enumerate(ends[:-1]):
+            if ends[i + 1][0] == k:
+                assert limit and n > limit
+    assert max(len(c["k"]) for c, _ in out) < 20
+
+
+def test_shingles_are_dealt_out_once(spark, tmp_path):
+    # keys that differ, though not in their last 28 bits
+    path = str(tmp_path / "sets")
+    spark.range(2000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), F.expr("transform(sequence(0, 49), x -> shiftleft(id * 50 + x, 28))").alias("first")).write.parquet(path)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(store.executorList(False)))
+
+    before = written()
+    assert shingles.candidates(spark.read.parquet(path)).count() == 0
+    once = written() - before
+    before = written()
+    spark.read.parquet(path).select("a", "b", F.explode("first").alias("key")).repartition("key").write.parquet(str(tmp_path / "dealt"))
+    assert once < 1.2 * (written() - before)
+
+
 def test_pipeline_drops_similar_documents(spark):
     import corpus_pipeline
 
