@@ -42,6 +42,8 @@ from skiff.llm.common import bitmap, bound_batches, crc_mod, discard, give_back,
 #: Groups whose sums a task holds (8 kB each); entries that are broadcast at most, at 24 bytes each; documents that ask for the others together (256 at most, as
 #: their places take a byte).
 SUMS, NEAR, GROUP = 8192, 200_000, 256
+#: Parts in which documents are scored one after the other, as their requests are most of what is on disk at a time.
+PARTS = 2
 ORDERS, GAIN, RATIO, DISCOUNT, LEAST = 4, 3.0, 1.2, 0.5, 3
 #: Keys that a task counts before it hands them on, and bytes of text for one range of keys.
 HELD, RANGE_BYTES = 4_000_000, 4 << 20
@@ -160,7 +162,7 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Distinct keys in order, the place of one of each, and their sums."""
     by = np.argsort(keys)
     keys = keys[by]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[at], by[at], np.add.reduceat(n[by], at)
 
 
@@ -362,7 +364,7 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     if longer:
         pairs = spark.sparkContext.broadcast(bitmap(counts.where("order = 1").select("key")))
         tables.append(stored(_counts(texts, longer, pairs, bits)))
-        pairs.unpersist()
+        pairs.destroy()
     release(spark)
     words = counts.where("order = 0").select("key", "n")
     total, kinds, ends = words.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("key") == _signed(END), F.col("n")))).first()
@@ -375,7 +377,7 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     often = [known, *(tables[min(k, 2) - 1].where(F.col("order") == k) for k in range(1, ORDERS + 1))]
     heavy = spark.sparkContext.broadcast([bitmap(o.select("key")) for o in often])
     found = stored(_gram_counts(texts, heavy, bits))
-    heavy.unpersist()
+    heavy.destroy()
     discard(*tables[1:])
     release(spark)
     tables = [counts, found]
@@ -419,14 +421,14 @@ def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, model: tuple[Tree, DataFrame], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(id_col, the extra columns, n_tokens, n_known, base_score, score): one row for each row of docs.
 
-    Documents go in groups of GROUP. A group asks for its keys by range, as sorted blocks; where a range's entries and requests
+    Documents go in PARTS, told by id and text; all but the last are scored and stored at once, and their shuffle files go. In a part
+    they go in groups of GROUP. A group asks for its keys by range, as sorted blocks; where a range's entries and requests
     meet, what they find is summed by document, and a group's sums meet under the group's number."""
     tree, far = model
     shared, bits = docs.sparkSession.sparkContext.broadcast(tree), tree.bits
     bound_batches(docs.sparkSession)
     own = F.struct(F.col(id_col).alias("id"), *(c.alias(k) for k, c in (extra or {}).items()))
-    rows = docs.select(utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), own.alias("doc"))
-    kind = rows.schema["doc"].dataType
+    kind = docs.select(own.alias("doc")).schema["doc"].dataType
     # part: a range; grp: a group of documents, or -1 for entries; a, b: keys and whose they are, entries' keys and values, or sums
     block = T.StructType([*T._parse_datatype_string("part bigint, grp bigint, size bigint, a binary, b binary"), T.StructField("docs", T.ArrayType(kind))])
     summed = T.StructType([*T._parse_datatype_string("grp bigint, size bigint, sums binary"), T.StructField("docs", T.ArrayType(kind))])
@@ -529,9 +531,17 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], id_col: str = "doc_id"
         if now is not None:
             yield done()
 
-    asked = rows.mapInArrow(ask, block).unionByName(far.select("key", "value", "word").mapInArrow(entries, block))
-    met = asked.repartition("part").sortWithinPartitions("part", "grp").mapInArrow(meet, summed)
-    found = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(total, out)
+    def of(some: DataFrame) -> DataFrame:
+        rows = some.select(utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), own.alias("doc"))
+        asked = rows.mapInArrow(ask, block).unionByName(far.select("key", "value", "word").mapInArrow(entries, block))
+        met = asked.repartition("part").sortWithinPartitions("part", "grp").mapInArrow(meet, summed)
+        return met.repartition("grp").sortWithinPartitions("grp").mapInArrow(total, out)
+
+    part, done = F.pmod(F.xxhash64(id_col, text_col), F.lit(PARTS)), []
+    for k in range(PARTS - 1):
+        done.append(stored(of(docs.where(part == k))))
+        release(docs.sparkSession)
+    found = reduce(DataFrame.unionByName, [*done, of(docs.where(part == PARTS - 1))])
     return found.select(F.col("doc.id").alias(id_col), *(F.col(f"doc.{k}").alias(k) for k in extra or {}), "n_tokens", "n_known", "base_score", "score")
 
 

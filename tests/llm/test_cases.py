@@ -495,6 +495,23 @@ def test_suffix_tree_keeps_by_counts(spark, monkeypatch, near, orders):
     assert [got[i].n_tokens - got[i].n_known for i in range(20, 24)] == [0, 0, 1, 1]
 
 
+def test_suffix_tree_scores_in_parts(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i % 150 if i % 50 else None, " ".join(r.choices("abcdefghij", k=r.randint(0, 30))) if i % 40 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffix_tree, "NEAR", 0)
+    model = suffix_tree.train(docs.select(common.utf8("text").alias("text")))
+    sizes, kept = [], suffix_tree.stored
+    monkeypatch.setattr(suffix_tree, "stored", lambda df: (sizes.append((out := kept(df)).count()), out)[1])
+    found = []
+    for parts in (1, 2, 3):
+        monkeypatch.setattr(suffix_tree, "PARTS", parts)
+        found.append(sorted(str((x.doc_id, x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6))) for x in suffix_tree.score(docs, model).collect()))
+    assert len(found[0]) == 300 and found[0] == found[1] == found[2]
+    # the parts that were on disk before the last one
+    assert len(sizes) == 3 and all(60 < n < 200 for n in sizes)
+
+
 def test_word_keys():
     r = random.Random(1)
     texts = [None, b"", b" ", b"One two", b"x" * 700000 + b" y", b"a b " * 200000 + b"z" * 900000]
