@@ -3,6 +3,7 @@ bitmaps and splitting hot buckets; tables in the shared folder and connected com
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -33,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps that are over: it does when the driver collects its garbage, which it may
-    not for long while executors' disks fill. For between large steps; it costs the driver about a second."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle and broadcast files of steps that are over: it does when the driver collects its garbage,
+    which it may not for long while executors' disks fill. For between large steps; it costs the driver about a second.
+
+    Twice, as the first collection still finds the last query's shuffles held."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def utf8(column: Column | str) -> Column:

@@ -4,6 +4,8 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +28,26 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 _PATHS: dict[int, tuple] = {}
+#: Whether a query's shuffle files go when it is over; by default they stay until the driver collects its garbage.
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP_CONF, None)
+    spark.conf.set(_CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP_CONF, before) if before is not None else spark.conf.unset(_CLEANUP_CONF)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df with its lineage cut: a Parquet table in the shared folder, so that a lost executor costs nothing that was
-    computed. discard() removes it."""
+    computed. Shuffle files of its making are gone then. discard() removes it."""
     path = new_folder(df.sparkSession, "stored")
-    df.write.parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
     return out

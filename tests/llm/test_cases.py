@@ -512,6 +512,35 @@ def test_suffix_tree_scores_in_parts(spark, monkeypatch):
     assert len(sizes) == 3 and all(60 < n < 200 for n in sizes)
 
 
+def shuffle_files(spark, want):
+    """The shuffle files on disk, after up to 5 s of waiting for as many as wanted (Spark deletes in the background)."""
+    import time
+
+    for _ in range(50):
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        n = sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+        if n == want:
+            break
+        time.sleep(0.1)
+    return n
+
+
+def test_shuffle_files_go_after_their_step(spark):
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    common.release(spark)
+    before, setting = shuffle_files(spark, 0), spark.conf.get(conf)
+    rows = spark.range(20000).selectExpr("id % 100 AS key").repartition("key").mapInArrow(lambda b: b, "key long")
+    # those of a stored table without the driver's garbage collection
+    kept = common.stored(rows.groupBy("key").count().repartition("key"))
+    assert shuffle_files(spark, before) == before and kept.count() == 100 and spark.conf.get(conf) == setting
+    common.release(spark)
+    before = shuffle_files(spark, 0)
+    # those of another step at the first release
+    assert rows.groupBy("key").count().repartition("key").count() == 100 and shuffle_files(spark, -1) > before
+    common.release(spark)
+    assert shuffle_files(spark, before) <= before
+
+
 def test_word_keys():
     r = random.Random(1)
     texts = [None, b"", b" ", b"One two", b"x" * 700000 + b" y", b"a b " * 200000 + b"z" * 900000]
